@@ -99,7 +99,7 @@ RULES: tuple[Rule, ...] = (
     Rule("few_words", lambda d: d.n_words < 50),
     Rule("repeated_windows", lambda d: 100 * d.n_repeat_words > 50 * d.n_words),
     Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
-    Rule("repeated_lines", lambda d: 10 * d.n_dup_lines > 3 * len(d.lines)),
+    Rule("repeated_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("word_length", lambda d: d.word_chars < 3 * d.n_words or d.word_chars > 10 * d.n_words),
     Rule("capitals", lambda d: 2 * d.letters[0] > d.letters[1]),
     Rule("exclamations", lambda d: 4 * d.n_bangs > d.n_words),
