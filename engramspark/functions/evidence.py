@@ -45,7 +45,8 @@ def delta(level: Column) -> Column:
 
 def recency(age_days: Column, half_life: float = DEFAULT.recency_half_life, most: float = DEFAULT.recency_max) -> Column:
     """Boost that halves with every ``half_life`` days; 0 where the age isn't known."""
-    return F.coalesce(F.lit(most) * F.exp(-F.log(F.lit(2.0)) * F.greatest(age_days.cast("double"), F.lit(0.0)) / half_life), F.lit(0.0))
+    boost = F.lit(most) * F.exp(-F.log(F.lit(2.0)) * F.greatest(age_days.cast("double"), F.lit(0.0)) / half_life)
+    return F.when(age_days.isNotNull(), boost).otherwise(F.lit(0.0))  # greatest() skips nulls
 
 
 def event_proximity(gap_days: Column, trusted: Column, half_life: float = DEFAULT.event_half_life, most: float = DEFAULT.event_max) -> Column:

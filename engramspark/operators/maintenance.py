@@ -36,7 +36,8 @@ def budgeted(rows: DataFrame, order: Sequence[Column], ratio: float, total: Colu
     """The first rows up to the budget, max(1, int(n * ratio)), in a total order. The order is global, and only ids are ranked."""
     w = Window.partitionBy(F.lit(0))
     n = F.count("*").over(w) if total is None else total
-    return rows.withColumn("nth", F.row_number().over(w.orderBy(*order)).cast("long")).where(F.col("nth") <= F.greatest(F.lit(1), F.floor(n * ratio)))
+    ranked = rows.withColumns({"nth": F.row_number().over(w.orderBy(*order)).cast("long"), "__most": F.greatest(F.lit(1), F.floor(n * ratio))})
+    return ranked.where(F.col("nth") <= F.col("__most")).drop("__most")
 
 
 def guard(age_days: Column, level: Column, reason: Column, referenced: Column, config: Config = DEFAULT) -> Column:
