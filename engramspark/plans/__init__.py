@@ -1,6 +1,6 @@
 """All registered queries of the memory graph."""
 
-from . import graph, ranking, sessions, upkeep  # noqa: F401
+from . import extras, graph, ranking, sessions, upkeep  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
