@@ -2,7 +2,7 @@
 
 A source's target is its share of the budget by weight, at most ``cap`` times its size; what is cut off is shared again. As
 many whole passes over the source as fit come first. What remains is fitted over the histogram of document lengths: a
-proportional number of documents of each length, then the longest that fit, then bounded-knapsack dynamic programming over
+proportional number of documents of each length, then bounded-knapsack dynamic programming over a reserve of
 the last words, so that the sum comes as near the target as the lengths allow. Which documents of a length are taken again
 is decided by a seeded hash; ties go by doc_id.
 
@@ -34,8 +34,9 @@ def word_count(text: Column) -> Column:
 def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, table: int = 1 << 16) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to nearly ``budget`` (never more).
 
-    Lengths are distinct and positive. A proportional part of each comes first, then greedily the longest that fit until
-    less than ``table`` words are open; these are filled by a bounded-knapsack table over sums, exact within itself.
+    Lengths are distinct and positive. All but a reserve of ``table`` words, or four of the longest documents, is shared
+    out in proportion, then to the longest that fit; the reserve is filled by a bounded-knapsack table over sums, exact
+    within itself. A source of fewer words is solved exactly.
     """
     sizes, have = np.asarray(lengths, "<i8"), np.asarray(counts, "<i8")
     total = int((sizes * have).sum())
@@ -43,17 +44,18 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, table: int =
         return have.copy()
     if budget <= 0:
         return np.zeros(len(have), "<i8")
+    reserve = min(max(table, 4 * int(sizes.max())), 1 << 23)
     # integers throughout: counts times budget may pass 2**63
-    take = np.array([int(c) * budget // total for c in have.tolist()], "<i8")
+    take = np.array([int(c) * max(0, budget - reserve) // total for c in have.tolist()], "<i8")
     left = budget - int((sizes * take).sum())
     for i in np.argsort(-sizes, kind="stable").tolist():
-        if left < table:
+        if left <= reserve:
             break
-        n = min(int(have[i] - take[i]), (left - table // 2) // int(sizes[i]))
+        n = min(int(have[i] - take[i]), (left - reserve // 2) // int(sizes[i]))
         if n > 0:
             take[i] += n
             left -= n * int(sizes[i])
-    # what is left is less than the longest document that is left and half a table
+    # what is left is no more than the reserve, or than a document longer than half of it and that half
     open_ = np.flatnonzero((have > take) & (sizes <= left))
     if len(open_) and left > 0:
         take += _knapsack(sizes, have - take, open_, left)

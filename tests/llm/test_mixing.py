@@ -18,18 +18,26 @@ def test_fit_is_near_and_exact():
         take = M.fit(sizes, have, budget)
         assert all(0 <= t <= h for t, h in zip(take, have))
         got = int(np.dot(take, sizes))
-        # what is open after the proportional part is filled as full as any choice can
-        base = np.array([h * budget // total for h in have]) if budget < total else np.array(have)
         reach = {0}
-        for size, n in zip(sizes, np.array(have) - base):
+        for size, n in zip(sizes, have):
             reach = {x + k * size for x in reach for k in range(n + 1)}
-        start = int(np.dot(base, sizes))
-        assert got == start + max(x for x in reach if start + x <= budget) if budget < total else got == total
+        assert got == max(x for x in reach if x <= budget)
+
+
+def test_fit_of_many():
+    """More words than the table: a proportional part of each length, and still to the word."""
+    r = random.Random(9)
+    sizes, have = r.sample(range(1, 3000), 300), [r.randint(50, 400) for _ in range(300)]
+    total = sum(a * b for a, b in zip(sizes, have))
+    for budget in (total // 3, total // 2 + 7, total - 1234):
+        take = M.fit(sizes, have, budget)
+        assert int(np.dot(take, sizes)) == budget and all(0 <= t <= h for t, h in zip(take, have))
+        assert sum(abs(t - h * budget / total) for t, h in zip(take, have)) < 0.1 * sum(have)
 
 
 def test_fit_long():
     sizes = [500_000, 300_000, 7]
-    assert int(np.dot(M.fit(sizes, [3, 3, 10], 1_100_000), sizes)) >= 1_100_000 - 7 * 10
+    assert int(np.dot(M.fit(sizes, [3, 3, 10], 1_100_000), sizes)) == 1_100_000
     take = M.fit([10**6], [1000], 10**9 // 2 + 5)
     assert take[0] == 500
 
