@@ -37,13 +37,14 @@ _GOOD_TAGS = frozenset("article main".split())
 _BAD_HINT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|navi|breadcrumb\w*|sidebar|side|aside|footer|foot|masthead|"
     r"topbar|comment\w*|respond|replies|reply|disqus|discussion|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social|"
-    r"related|recommend\w*|widget|pagination|pager|copyright|legal|disclaimer|toolbar|search\w*|form|complementary|contentinfo|skip|tags?|meta|teaser|outbrain|taboola|paywall|toc)(?=$|[\s_-])",
+    r"related|recommend\w*|widget|pagination|pager|copyright|legal|disclaimer|toolbar|search\w*|form|complementary|contentinfo|skip|tags?|meta|teaser|outbrain|taboola|paywall|toc|table-of-contents|cta|utility)(?=$|[\s_-])",
     re.I,
 )
 _BAD_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|comment\w*|reply|replies|related|teaser)(?=$|[\s_-])", re.I)
 _LAYOUT = re.compile(r"\b(?:has|with|no|without)[_-][\w-]+", re.I)
 _HEADER_HINT = re.compile(r"(?:^|[\s_-])(?:header|head|banner|site-title|logo)(?=$|[\s_-])", re.I)
 _GOOD_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|main|post|entry|story|text|prose|maincontent)(?=$|[\s_-])", re.I)
+_IMPRINT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 #: An opening tag of the left closes an open one of the right.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 
@@ -156,6 +157,8 @@ def costs(b: Block, any_good: bool) -> tuple[float, float]:
         score += 0.4
     score += {"p": 0.8, "pre": 0.6, "blockquote": 0.6, "h1": 0.8, "h2": 0.5, "h3": 0.4, "li": -0.3, "td": -0.2}.get(b.tag, 0.0)
     score -= 3.0 * density
+    if words < 25 and _IMPRINT.match(b.text):
+        score -= 2.5
     if b.good:
         score += 4.0
     elif any_good:
