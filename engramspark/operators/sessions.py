@@ -137,15 +137,17 @@ def markdown(messages: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.concat(F.lit("# Conversation "), F.first(F.col("session_id").cast("string")), F.lit("\n\n---\n\n"), F.array_join(F.transform(all_, part), "\n")).alias("markdown"))
 
 
-def commit_filter(merge: Column, subject: Column, body: Column, files: Column) -> Column:
-    """Why a commit isn't worth mining, or null."""
+_GENERATED = r"(?s)^(?:dist/.*|build/.*|.*__pycache__.*|.*[.](?:lock|snap|pb[.]go|min[.]js|min[.]css)|.*_pb2(?:_grpc)?[.]py|package-lock[.]json|pnpm-lock[.]yaml)$"
+
+
+def commit_filter(parents: Column, subject: Column, body: Column, files: Column) -> Column:
+    """Why a commit isn't worth mining, or null; in doubt it is."""
     bare = F.trim(F.coalesce(body, F.lit(""))) == ""
-    dull = r"(?:^|/)(?:[^/]*[.](?:lock|snap|svg|min[.]js|min[.]css|map|png|jpg|gif|pdf)|package-lock[.]json|yarn[.]lock|poetry[.]lock|Cargo[.]lock)$|(?:^|/)(?:dist|node_modules|vendor|build)/"
     return (
-        F.when(merge & bare, "merge")
-        .when((F.size(files) > 0) & F.forall(files, lambda f: f.rlike(dull)), "generated_files")
-        .when(subject.rlike(r"(?i)^(?:chore(?:\(.*\))?:\s*)?(?:bump|release|version)\b") & bare, "version_bump")
-        .when((F.size(F.split(F.trim(subject), r"\s+")) <= 3) & bare, "too_short")
+        F.when((F.size(parents) >= 2) & bare, "merge")
+        .when((F.size(files) > 0) & F.forall(files, lambda f: f.rlike(_GENERATED)), "generated_files")
+        .when(bare & F.lower(subject).rlike(r"bump|release v|chore\(release\)"), "version_bump")
+        .when(bare & (F.size(files) == 0) & (F.size(F.split(F.trim(subject), r"\s+")) <= 3), "trivial")
     )
 
 

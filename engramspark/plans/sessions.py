@@ -135,13 +135,14 @@ def incremental_since_cursor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'merge' WHEN o_orderkey % 10 = 1 THEN 'generated_files' WHEN o_orderkey % 10 = 2 THEN 'version_bump' WHEN o_orderkey % 10 = 3 THEN 'too_short' END AS rejected FROM orders"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'merge' WHEN o_orderkey % 10 = 1 THEN 'generated_files' WHEN o_orderkey % 10 = 2 THEN 'version_bump' WHEN o_orderkey % 10 = 3 THEN 'trivial' END AS rejected FROM orders"""
 )
 def commit_prefilter(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("o_orderkey") % 10
     subject = F.when(m == 2, "bump the engine to a new version").when(m == 3, "fix it").otherwise("rework the order of joins for speed")
-    files = F.when(m == 1, F.array(F.lit("web/yarn.lock"), F.lit("docs/plan.svg"))).otherwise(F.array(F.lit("src/main.py"), F.lit("yarn.lock")))
-    return M.table(spark, d, "orders").select("o_orderkey", S.commit_filter(m == 0, subject, F.lit(""), files).alias("rejected"))
+    files = F.when(m == 1, F.array(F.lit("web/yarn.lock"), F.lit("dist/app.js"))).when(m == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("src/main.py"), F.lit("yarn.lock")))
+    parents = F.when(m == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    return M.table(spark, d, "orders").select("o_orderkey", S.commit_filter(parents, subject, F.lit(""), files).alias("rejected"))
 
 
 @query()

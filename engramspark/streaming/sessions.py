@@ -40,9 +40,9 @@ def ledger(log: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return told.groupBy("key").agg(F.count_if(F.col("failed") & (F.col("streak") == config.park_after)).alias("parked_times"), F.count_if("failed").alias("attempts"))
 
 
-def deduplicated(stream: DataFrame, keys: list[str], gap: str = "5 seconds") -> DataFrame:
-    """One row per signature within the gap; the stream carries a watermark."""
-    return stream.dropDuplicatesWithinWatermark(keys)
+def deduplicated(stream: DataFrame, keys: list[str], gap: str = "5 seconds", time: str = "ts") -> DataFrame:
+    """One row per signature within the gap; the gap is the stream's watermark."""
+    return stream.withWatermark(time, gap).dropDuplicatesWithinWatermark(keys)
 
 
 def buffered(stream: DataFrame, keep: int = 10, config: Config = DEFAULT) -> DataFrame:

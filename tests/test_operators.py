@@ -133,6 +133,11 @@ def test_prefilter(spark):
 
 
 def test_commit_filter(spark):
-    f = lambda m, s, b, *files: spark.range(1).select(S.commit_filter(F.lit(m), F.lit(s), F.lit(b), F.array(*(F.lit(x) for x in files))).alias("r")).first().r
-    assert f(True, "Merge branch", "", "a.py") == "merge" and f(False, "a long subject here", "", "x/yarn.lock") == "generated_files"
-    assert f(False, "bump version to 1.2", "", "a.py") == "version_bump" and f(False, "fix it", "", "a.py") == "too_short" and f(False, "fix it", "because", "a.py") is None
+    def f(parents, subject, body, *files):
+        arr = lambda x: F.array(*(F.lit(i) for i in x)).cast("array<string>")
+        return spark.range(1).select(S.commit_filter(arr(parents), F.lit(subject), F.lit(body), arr(files)).alias("r")).first().r
+
+    assert f("ab", "Merge branch", "", "a.py") == "merge" and f("ab", "Merge branch", "why", "a.py") is None
+    assert f("a", "a long subject here", "", "x/yarn.lock", "dist/a.py") == "generated_files"
+    assert f("a", "Bump version to 1.2", "", "a.py") == "version_bump"
+    assert f("a", "fix it", "") == "trivial" and f("a", "fix it", "", "a.py") is None
