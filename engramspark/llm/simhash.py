@@ -132,14 +132,21 @@ def contract(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
-def without_copies(docs: DataFrame, hot: int = 8192) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id (nulls last), then of the smallest text hash; all its columns are kept."""
+def without_copies(docs: DataFrame, hot: int = 8192, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (nulls last), then of the smallest text hash; all its columns are kept.
+
+    The rows that go, two numbers each, are broadcast if they are no more than ``broadcast_rows``, so no text is shuffled;
+    more are taken out by a shuffled join.
+    """
     rows = written(fingerprints(docs), "fingerprints")
+    found = written(grouped(rows, hot).select("root", "doc_id", "text_hash"), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    keep = grouped(rows, hot).groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
+    first = found.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("first") != F.col("last")).select("root", "first")
+    going = found.join(first, "root").where(order != F.col("first")).select(F.col("doc_id").alias("go_doc"), F.col("text_hash").alias("go_hash")).distinct()
+    going = written(going, "copies")
+    few = going.count() <= broadcast_rows
     (h,) = fresh(docs, "copies_hash")
-    keep = keep.withColumnsRenamed({"doc_id": "keep_doc", "text_hash": "keep_hash"})
     left = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = left.join(keep, (left[h] == keep["keep_hash"]) & left["doc_id"].eqNullSafe(keep["keep_doc"])).drop("keep_doc", "keep_hash")
+    kept = left.join(F.broadcast(going) if few else going, (left[h] == going["go_hash"]) & left["doc_id"].eqNullSafe(going["go_doc"]), "left_anti")
     twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").head(1)
     return (kept.dropDuplicates(["doc_id", h]) if twice else kept).drop(h)
