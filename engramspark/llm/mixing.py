@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-_BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -119,12 +118,23 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return table.withColumn("target", F.least(F.col("weight") * level, most))
 
 
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 8) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each document.
 
-    Shuffled are short rows without text. A length of a source that many documents share is split into hash buckets, each
-    numbered by itself; prefix sums over the buckets' counts number the whole.
+    Shuffled are short rows without text. A length of a source that many documents share is split into buckets by the high
+    bits of their hash, each numbered by itself; prefix sums over the buckets' counts number the whole.
     """
+    chosen, facts = _chosen(docs, weights, share, cap, seed)
+    out = chosen.join(facts, F.col("source").eqNullSafe(F.col("g_source")))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("again"))).alias("taken"))
+
+
+def _chosen(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, source, size, h and whether each is taken once more), and what holds for their sources."""
     rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     lengths = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     lengths = written(lengths, "lengths")
@@ -141,8 +151,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     takes = written(budgets.groupBy("source").applyInPandas(fitted, "source string, size long, more long"), "takes")
     takes = takes.where("more > 0")
 
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    marked = rows.withColumns({"h": h, "bucket": F.pmod(h, F.lit(_BUCKETS)).cast("int")})
+    marked = rows.withColumn("h", _hash(seed)).withColumn("bucket", F.shiftright("h", 52))
     own = Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")
     ranked = marked.withColumn("nth", F.row_number().over(own).cast("long"))
     counts = marked.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
@@ -152,24 +161,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     chosen = ranked.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("bucket") == F.col("q_bucket")), "left")
     again = (F.col("nth") <= F.coalesce("quota", F.lit(0))).cast("long")
     facts = goal.select(F.col("source").alias("g_source"), "source_size", "target", whole.cast("long").alias("whole"))
-    out = chosen.join(facts, F.col("source").eqNullSafe(F.col("g_source")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + again)).alias("taken"))
+    return chosen.select("doc_id", "source", "size", "h", again.alias("again")), facts
 
 
-def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 8) -> DataFrame:
+def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it was taken, with all its columns. Rows of no words aren't taken.
 
-    Rows that agree in doc_id, source and size are one another's equals; they share what was taken of them.
+    Of a length of a source those are taken again whose hash and doc_id don't pass a bound. Up to ``broadcast_rows`` bounds
+    are broadcast, so no text is shuffled; more are joined. Only where rows agree in doc_id, source and size and the bound
+    falls among them is each row's share of what they were taken joined to it.
     """
-    size, n, of = fresh(docs, "mix_size", "mix_n", "mix_of")
-    taken = mix(docs, weights, share, cap, seed).where("taken > 0")
-    # rows of one identity: how many times each, largest first
-    times = written(taken.groupBy("doc_id", "source", "size").agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias(n), F.count("*").alias(of)), "times")
-    times = times.withColumnsRenamed({"doc_id": "m_doc", "source": "m_source", "size": "m_size"})
-    left = docs.withColumn(size, word_count(F.col("text")))
-    same = left["doc_id"].eqNullSafe(times["m_doc"]) & left["source"].cast("string").eqNullSafe(times["m_source"]) & (left[size] == times["m_size"])
-    out = left.join(times, same)
-    if times.where(F.col(of) > 1).head(1):
+    chosen, facts = _chosen(docs, weights, share, cap, seed)
+    chosen, facts = written(chosen, "chosen"), written(facts, "facts")
+    place = F.struct("h", "doc_id")
+    bounds = written(chosen.where("again = 1").groupBy("source", "size").agg(F.max(place).alias("bound")), "bounds").withColumnsRenamed({"source": "b_source", "size": "b_size"})
+    on = lambda df, size: df["source"].cast("string").eqNullSafe(bounds["b_source"]) & (size == bounds["b_size"])
+    size, n, h, of = fresh(docs, "mix_size", "mix_n", "mix_hash", "mix_of")
+    split = chosen.where("again = 0").join(bounds, on(chosen, chosen["size"])).where(place == F.col("bound")).head(1)
+    few = bounds.count() <= broadcast_rows
+    left = docs.withColumns({size: word_count(F.col("text")), h: _hash(seed)})
+    at = left.join(F.broadcast(bounds) if few else bounds, on(left, left[size]), "left").join(facts, left["source"].cast("string").eqNullSafe(facts["g_source"]))
+    if not split:
+        again = F.coalesce(F.struct(left[h].alias("h"), left["doc_id"].alias("doc_id")) <= F.col("bound"), F.lit(False)).cast("int")
+        out = at.where(left[size] > 0).withColumn(n, F.col("whole").cast("int") + again)
+    else:
+        times = chosen.groupBy("doc_id", "source", "size").agg(F.sum("again").alias(n), F.count("*").alias(of)).withColumnsRenamed({"doc_id": "m_doc", "source": "m_source", "size": "m_size"})
+        out = at.join(times, left["doc_id"].eqNullSafe(times["m_doc"]) & left["source"].cast("string").eqNullSafe(times["m_source"]) & (left[size] == times["m_size"])).where(left[size] > 0)
         nth = F.row_number().over(Window.partitionBy("m_doc", "m_source", "m_size").orderBy("text"))
-        out = out.withColumn(n, F.floor(F.col(n) / F.col(of)) + (nth <= F.col(n) % F.col(of)).cast("long"))
-    return out.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(*[left[c] for c in docs.columns])
+        out = out.withColumn(n, (F.col("whole") + F.floor(F.col(n) / F.col(of)) + (nth <= F.col(n) % F.col(of)).cast("long")).cast("int"))
+    return out.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*[left[c] for c in docs.columns])
