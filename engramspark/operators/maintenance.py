@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions.privacy import differ_in_kind
 from ..functions.text import tokens
 from ..schemas import DEFAULT, EVIDENCE_RANK, Config
+from .ranking import numbered
 from .similarity import similar_pairs
 
 
@@ -32,12 +33,10 @@ def keepers(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     return both.withColumns({"keeper": F.when(first, F.col("a")).otherwise(F.col("b")), "loser": F.when(first, F.col("b")).otherwise(F.col("a"))}).drop("ea", "eb")
 
 
-def budgeted(rows: DataFrame, order: Sequence[Column], ratio: float, total: Column | None = None) -> DataFrame:
-    """The first rows up to the budget, max(1, int(n * ratio)), in a total order. The order is global, and only ids are ranked."""
-    w = Window.partitionBy(F.lit(0))
-    n = F.count("*").over(w) if total is None else total
-    ranked = rows.withColumns({"nth": F.row_number().over(w.orderBy(*order)).cast("long"), "__most": F.greatest(F.lit(1), F.floor(n * ratio))})
-    return ranked.where(F.col("nth") <= F.col("__most")).drop("__most")
+def budgeted(rows: DataFrame, order: Sequence[Column], ratio: float, total: int | None = None) -> DataFrame:
+    """The first rows up to the budget, max(1, int(n * ratio)), in a total order; adds ``nth``. Ranges of rows are sorted, no task holds them all."""
+    n = rows.count() if total is None else total
+    return numbered(rows, order).where(F.col("nth") <= max(1, int(n * ratio)))
 
 
 def guard(age_days: Column, level: Column, reason: Column, referenced: Column, config: Config = DEFAULT) -> Column:
@@ -92,7 +91,7 @@ def repointed(edges: DataFrame, merges: DataFrame) -> DataFrame:
 def orphans(nodes: DataFrame, edges: DataFrame, ident: str, ratio: float = DEFAULT.deprecation_ratio) -> DataFrame:
     """Nodes without an edge, within the budget, the smallest ids first."""
     total = nodes.count()
-    return budgeted(nodes.join(edges.select(ident).distinct(), ident, "left_anti"), [F.col(ident)], ratio, F.lit(total))
+    return budgeted(nodes.join(edges.select(ident).distinct(), ident, "left_anti"), [F.col(ident)], ratio, total)
 
 
 def insert_new(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,6 +22,18 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(_over(keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "nth") -> DataFrame:
+    """A row number over the whole table in a total order, without one task that holds it: rows are sorted by range and written, and a partition's rows go on from the counts of those before."""
+    from ..sources.store import written
+
+    rows = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))  # a row per partition
+    before = sizes.select("__p", (F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("__c")).alias("__b"))
+    within = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return rows.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + within + 1).drop("__at", "__p", "__b")
+
+
 def evidence_weighted(df: DataFrame, keys: Sequence[str] = (), level: str = "evidence_level", base: str = "base_score") -> DataFrame:
     """Adds ``score``: the base and the level's delta, in groups that have a graded row; others keep their base. Recomputed from the base, so twice is once."""
     graded = F.bool_or(E.is_level(F.col(level))).over(_over(keys))

@@ -15,19 +15,32 @@ from ..functions.text import cosine, jaccard
 
 
 def similar_pairs(df: DataFrame, ident: str, tokens: str, threshold: float, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs (a, b) with a < b of one group whose token sets have at least the similarity, with it as ``similarity``. Equal sets are joined as one, then expanded by their members' link to it."""
+    """Pairs (a, b) with a < b of one group whose token sets have at least the similarity, with it as ``similarity``.
+
+    Equal sets are one class, named by its smallest member: pairs are those of the classes' names, and of each name with its
+    members. A group of copies so gives one pair a copy and not all pairs, and no link between different sets is lost.
+    """
     rows = df.select(*within, F.col(ident).alias("__id"), F.array_sort(F.col(tokens)).alias("__t")).where(F.size("__t") > 0)
-    flat = rows.select(*within, "__id", F.explode("__t").alias("__w"))
+    signed = rows.withColumn("__s", F.sha2(F.array_join("__t", "\x01"), 256))
+    classes = signed.groupBy(*within, "__s").agg(F.min("__id").alias("__rep"), F.count("*").alias("__n"))
+    copies = signed.select(*within, "__s", "__id").join(classes.where("__n > 1").select(*within, "__s", "__rep"), [*within, "__s"]).where("__id <> __rep")
+    copies = copies.select(*within, F.col("__rep").alias("a"), F.col("__id").alias("b"), F.lit(1.0).alias("similarity"))
+    rows = signed.join(classes.select(*within, "__s", F.col("__rep").alias("__id")), [*within, "__s", "__id"], "left_semi").select(*within, "__id", "__t").dropDuplicates([*within, "__id"])
+    # tokens travel as 64-bit hashes, which may only bring more candidates; the sets themselves are compared at the end
+    flat = rows.select(*within, "__id", F.explode(F.transform("__t", lambda x: F.xxhash64(x))).alias("__w"))
     frequency = flat.groupBy(*within, "__w").agg(F.count("*").alias("__f"))
     ordered = flat.join(frequency, [*within, "__w"]).groupBy(*within, "__id").agg(F.array_sort(F.collect_list(F.struct("__f", "__w"))).alias("__o"))
     n = F.size("__o")
-    prefix = ordered.select(*within, "__id", F.transform("__o", lambda x: x["__w"]).alias("__t"), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int").alias("__p"))
-    keys = prefix.select(*within, "__id", "__t", F.explode(F.slice("__t", F.lit(1), F.col("__p"))).alias("__w"))
-    a, b = keys.withColumnsRenamed({"__id": "a", "__t": "ta"}), keys.withColumnsRenamed({"__id": "b", "__t": "tb"})
-    size_ok = (F.size("ta") >= threshold * F.size("tb") - 1e-9) & (F.size("tb") >= threshold * F.size("ta") - 1e-9)
-    met = a.join(b, [*within, "__w"]).where((F.col("a") < F.col("b")) & size_ok)
-    scored = met.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
-    return scored.select(*within, "a", "b", "similarity").distinct()
+    ahead = F.slice("__o", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    # a token that only one set has leads nowhere
+    keys = ordered.select(*within, "__id", n.alias("__n"), F.explode(F.filter(ahead, lambda x: x["__f"] > 1)).alias("__x")).select(*within, "__id", "__n", F.col("__x.__w").alias("__w"))
+    a, b = keys.withColumnsRenamed({"__id": "a", "__n": "na"}), keys.withColumnsRenamed({"__id": "b", "__n": "nb"})
+    size_ok = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    met = a.join(b, [*within, "__w"]).where((F.col("a") < F.col("b")) & size_ok).select(*within, "a", "b").distinct()
+    sets = lambda end, name: rows.select(*within, F.col("__id").alias(end), F.col("__t").alias(name))
+    both = met.join(sets("a", "ta"), [*within, "a"]).join(sets("b", "tb"), [*within, "b"])
+    scored = both.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
+    return scored.select(*within, "a", "b", "similarity").unionByName(copies)
 
 
 def best_match(pairs: DataFrame, key: str, other: str, score: str = "similarity") -> DataFrame:

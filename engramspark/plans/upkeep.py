@@ -16,8 +16,8 @@ from ..sources import memory as M
 from ..sources.memory import with_views
 from .registry import jaccard_sql, query, tokens_sql
 
-_TOKENS = f"t AS (SELECT doc_id, source AS space, text, {tokens_sql('text')} AS w FROM documents)"
-_PAIRS = f"{_TOKENS}, p AS (SELECT a.space, a.doc_id AS a, b.doc_id AS b, a.text AS ta, b.text AS tb, {jaccard_sql('a.w', 'b.w')} AS similarity FROM t a JOIN t b ON a.space = b.space AND a.doc_id < b.doc_id)"
+_TOKENS = f"w0 AS (SELECT doc_id, source AS space, text, {tokens_sql('text')} AS w FROM documents), t AS (SELECT *, min(doc_id) OVER (PARTITION BY space, list_sort(w)) AS rep FROM w0)"
+_PAIRS = f"{_TOKENS}, p AS (SELECT a.space, a.doc_id AS a, b.doc_id AS b, a.text AS ta, b.text AS tb, {jaccard_sql('a.w', 'b.w')} AS similarity FROM t a JOIN t b ON a.space = b.space AND a.doc_id < b.doc_id AND (a.rep = a.doc_id AND b.rep = b.doc_id OR b.rep = a.doc_id))"
 _NEG = r"(?i)\b(?:never|not|n''t|without|cannot|no longer)\b|[지치]\s*않|안\s|못\s|없다|아니다"
 _DAY = r"(?:sunday|monday|tuesday|wednesday|thursday|friday|saturday)"
 _SAME_KIND = f"regexp_matches(ta, '{_NEG}') = regexp_matches(tb, '{_NEG}') AND list_sort(list_distinct(regexp_extract_all(lower(ta), '\\b{_DAY}\\b|[월화수목금토일]요일'))) = list_sort(list_distinct(regexp_extract_all(lower(tb), '\\b{_DAY}\\b|[월화수목금토일]요일')))"
@@ -179,7 +179,7 @@ def deprecation_guard(spark: SparkSession, d: str) -> DataFrame:
 def deprecation_budget(spark: SparkSession, d: str) -> DataFrame:
     """A budgeted pass: its limit is the feature."""
     rows = _guarded(spark, d)
-    return U.budgeted(rows.where("refused IS NULL"), [F.col("base_score"), F.col("doc_id")], 0.1, F.lit(rows.count())).select("doc_id", "nth")
+    return U.budgeted(rows.where("refused IS NULL"), [F.col("base_score"), F.col("doc_id")], 0.1, rows.count()).select("doc_id", "nth")
 
 
 @query("SELECT DISTINCT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND round(a.c_acctbal / 100) = round(b.c_acctbal / 100) AND a.c_custkey < b.c_custkey")

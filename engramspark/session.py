@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from .sources.store import folder
+
 #: For a cluster; sizes of partitions are targets that adaptive execution works to.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,12 +33,16 @@ def ship(spark: SparkSession) -> None:
     name = f"engramspark-{sc.applicationId}.zip"
     if any(os.path.basename(str(f)) == name for f in sc._python_includes):
         return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="engram-ship-"), name)
-    with zipfile.ZipFile(path, "w") as z:
+    root, out = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
         for top, _, files in os.walk(os.path.join(root, "engramspark")):
             for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(top, f)
                     z.write(full, os.path.relpath(full, root))
+    path = f"{folder(spark)}/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(out.getvalue())
+    stream.close()
     sc.addPyFile(path)

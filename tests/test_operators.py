@@ -37,10 +37,12 @@ def test_similar_pairs_brute(spark):
     r = random.Random(3)
     sets = [[f"w{r.randrange(12)}" for _ in range(r.randint(1, 8))] for _ in range(80)]
     rows = [(i, i % 2, sorted(set(s))) for i, s in enumerate(sets)]
+    rep = {i: min(j for j, h, u in rows if h == g and u == w) for i, g, w in rows}
     for t in (0.4, 0.6, 0.75, 1.0):
-        got = {(x.a, x.b) for x in J.similar_pairs(df(spark, rows, "id int, g int, w array<string>"), "id", "w", t, ["g"]).collect()}
-        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and len(set(a[2]) & set(b[2])) / len(set(a[2]) | set(b[2])) >= t}
-        assert got == want
+        got = [(x.a, x.b) for x in J.similar_pairs(df(spark, rows, "id int, g int, w array<string>"), "id", "w", t, ["g"]).collect()]
+        near = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= t  # noqa: B023, E731
+        want = {(a, b) for a, g, u in rows for b, h, v in rows if a < b and g == h and rep[a] == a and rep[b] == b and near(u, v)} | {(rep[i], i) for i, _, _ in rows if rep[i] != i}
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_expand_first_discovery(spark):
