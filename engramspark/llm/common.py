@@ -65,6 +65,13 @@ def bytes_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker has few rows as Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def by_batch(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function from a record batch to columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,7 +80,7 @@ def by_batch(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list]], s
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols = each(b)
             yield pa.RecordBatch.from_arrays([_array(cols[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, written
+from .common import by_batch, slices, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, name: str, capacity: int = CAPACITY, end_id: i
         import pyarrow as pa
 
         encode, seen, task = tokenizer(name).encode_ordinary, [0] * (capacity + 1), TaskContext.get().partitionId()
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             ids_col = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

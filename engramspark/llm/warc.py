@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, new_path, written
+from .common import bytes_of, new_path, slices, written
 
 LEAST_REVISIT = 1000
 _SPACE = re.compile(r"[\x00-\x20\x7f]+")
@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, broa
         fs, base = _fs(path)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            for b in batches:
+            for b in slices(batches):
                 for page, url, refers, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
                     arc = legacy(page, url, payload, 1 + n % 2)
                     (record,) = arc_records(arc)
