@@ -114,23 +114,19 @@ class Measured(NamedTuple):
     rejected: float
 
 
-def calibrate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 400) -> list[Measured]:
-    """Cost (microseconds a document, its features included) and selectivity of each rule on at most ``sample_rows`` rows, best rejection per cost first.
+def calibrate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200, sample_bytes: int = 1 << 18) -> list[Measured]:
+    """Cost (microseconds a document, its features included) and selectivity of each rule on at most ``sample_rows`` texts of at most ``sample_bytes`` each, best rejection per cost first.
 
-    The sample only decides the order of evaluation. It is read in one task; one row per rule comes to the driver.
+    The sample only decides the order of evaluation. Spark reads no more partitions than it takes to fill it, and what comes
+    to the driver is at most ``sample_rows * sample_bytes``.
     """
-
-    def measure(batches):
-        raws = [x for b in batches for x in b["raw"]]
-        out = []
-        for i, r in enumerate(rules):
-            began = time.perf_counter()
-            hits = sum(r.rejects(Doc(x)) for x in raws)
-            out.append((i, (time.perf_counter() - began) * 1e6 / max(1, len(raws)), hits / max(1, len(raws))))
-        yield pd.DataFrame(out, columns=["i", "cost", "hits"])
-
-    sample = docs.select(bytes_of().alias("raw")).limit(sample_rows).coalesce(1)
-    found = [Measured(rules[x.i].name, x.cost, x.hits) for x in sample.mapInPandas(measure, "i int, cost double, hits double").collect()]
+    raw = bytes_of()
+    texts = [bytes(r.raw) for r in docs.where(F.octet_length(raw) <= sample_bytes).select(raw.alias("raw")).limit(sample_rows).collect()]
+    n, found = max(1, len(texts)), []
+    for r in rules:
+        began = time.perf_counter()
+        hits = sum(r.rejects(Doc(x)) for x in texts)
+        found.append(Measured(r.name, (time.perf_counter() - began) * 1e6 / n, hits / n))
     at = {r.name: i for i, r in enumerate(rules)}
     return sorted(found, key=lambda m: (-m.rejected / max(m.cost_us, 1e-9), at[m.name]))
 
@@ -149,7 +145,7 @@ def judge(doc: Doc, rules: Sequence[Rule]) -> str | None:
     return None
 
 
-def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
+def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200) -> DataFrame:
     """doc_id, the base features, base_failed, kept and failed_rule (the first in the calibrated order; null if kept), one row per row of ``docs``. No shuffle."""
     ordered = in_order(calibrate(docs, rules, sample_rows), rules)
     base = [r for r in rules if r.name in BASE]
@@ -171,7 +167,7 @@ def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows
     return by_batch(docs.select("doc_id", bytes_of().alias("raw")), each, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, failed_rule string")
 
 
-def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns. The cascade alone runs: no feature is computed that no rule asks for."""
     ordered = in_order(calibrate(docs, rules, sample_rows), rules)
 
