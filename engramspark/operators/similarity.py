@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, jaccard
+from ..sources.store import written
 
 
 def similar_pairs(df: DataFrame, ident: str, tokens: str, threshold: float, within: Sequence[str] = ()) -> DataFrame:
@@ -20,25 +21,32 @@ def similar_pairs(df: DataFrame, ident: str, tokens: str, threshold: float, with
     Equal sets are one class, named by its smallest member: pairs are those of the classes' names, and of each name with its
     members. A group of copies so gives one pair a copy and not all pairs, and no link between different sets is lost.
     """
-    rows = df.select(*within, F.col(ident).alias("__id"), F.array_sort(F.col(tokens)).alias("__t")).where(F.size("__t") > 0)
-    signed = rows.withColumn("__s", F.sha2(F.array_join("__t", "\x01"), 256))
+    rows = df.select(*within, F.col(ident).alias("__id"), F.sort_array(F.col(tokens)).alias("__t")).where(F.size("__t") > 0)
+    signed = written(rows.withColumn("__s", F.sha2(F.array_join("__t", "\x01"), 256)), "sets")  # texts are tokenised once
     classes = signed.groupBy(*within, "__s").agg(F.min("__id").alias("__rep"), F.count("*").alias("__n"))
     copies = signed.select(*within, "__s", "__id").join(classes.where("__n > 1").select(*within, "__s", "__rep"), [*within, "__s"]).where("__id <> __rep")
     copies = copies.select(*within, F.col("__rep").alias("a"), F.col("__id").alias("b"), F.lit(1.0).alias("similarity"))
     rows = signed.join(classes.select(*within, "__s", F.col("__rep").alias("__id")), [*within, "__s", "__id"], "left_semi").select(*within, "__id", "__t").dropDuplicates([*within, "__id"])
     # tokens travel as 64-bit hashes, which may only bring more candidates; the sets themselves are compared at the end
-    flat = rows.select(*within, "__id", F.explode(F.transform("__t", lambda x: F.xxhash64(x))).alias("__w"))
+    rows = written(rows.withColumn("__h", F.transform("__t", lambda x: F.xxhash64(x))), "classes")
+    flat = rows.select(*within, "__id", F.explode("__h").alias("__w"))
     frequency = flat.groupBy(*within, "__w").agg(F.count("*").alias("__f"))
-    ordered = flat.join(frequency, [*within, "__w"]).groupBy(*within, "__id").agg(F.array_sort(F.collect_list(F.struct("__f", "__w"))).alias("__o"))
+    ordered = flat.join(frequency, [*within, "__w"]).groupBy(*within, "__id").agg(F.sort_array(F.collect_list(F.struct("__f", "__w"))).alias("__o"))
     n = F.size("__o")
     ahead = F.slice("__o", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
     # a token that only one set has leads nowhere
-    keys = ordered.select(*within, "__id", n.alias("__n"), F.explode(F.filter(ahead, lambda x: x["__f"] > 1)).alias("__x")).select(*within, "__id", "__n", F.col("__x.__w").alias("__w"))
-    a, b = keys.withColumnsRenamed({"__id": "a", "__n": "na"}), keys.withColumnsRenamed({"__id": "b", "__n": "nb"})
+    found = ordered.select(*within, "__id", n.alias("__n"), F.posexplode(ahead).alias("__p", "__x")).where("__x.__f > 1").select(*within, "__id", "__n", "__p", F.col("__x.__w").alias("__w"))
+    found = written(found, "prefixes")
+    a, b = (found.withColumnsRenamed({"__id": x, "__n": f"n{x}", "__p": f"p{x}"}) for x in "ab")
     size_ok = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    met = a.join(b, [*within, "__w"]).where((F.col("a") < F.col("b")) & size_ok).select(*within, "a", "b").distinct()
-    sets = lambda end, name: rows.select(*within, F.col("__id").alias(end), F.col("__t").alias(name))
-    both = met.join(sets("a", "ta"), [*within, "a"]).join(sets("b", "tb"), [*within, "b"])
+    # at the first token shared, no more can be shared than what is left of either; other tokens only keep more
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = rest >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    met = a.join(b, [*within, "__w"]).where((F.col("a") < F.col("b")) & size_ok & enough).select(*within, "a", "b").distinct()
+    met = written(met, "candidates")  # of known size now: few are broadcast to the sets, many are joined
+    ends = lambda df, end, col, name: df.select(*within, F.col("__id").alias(end), F.col(col).alias(name))
+    close = met.join(ends(rows, "a", "__h", "ha"), [*within, "a"]).join(ends(rows, "b", "__h", "hb"), [*within, "b"]).where(jaccard(F.col("ha"), F.col("hb")) >= threshold - 1e-9).select(*within, "a", "b")
+    both = close.join(ends(rows, "a", "__t", "ta"), [*within, "a"]).join(ends(rows, "b", "__t", "tb"), [*within, "b"])
     scored = both.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
     return scored.select(*within, "a", "b", "similarity").unionByName(copies)
 
