@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN_KINDS = ("_dream_state", "_space_profile", "space-profile")
+
+def hidden(kind: Column) -> Column:
+    """Kinds that runs write about themselves."""
+    return kind.startswith("_") | (kind == "space-profile")
 
 
 def spaces_under(spaces: DataFrame, project: str, root: str = "") -> DataFrame:
@@ -40,7 +43,7 @@ def live_entities(items: DataFrame, revisions: DataFrame) -> DataFrame:
 
 def fresh_revisions(items: DataFrame, revisions: DataFrame, ledger: DataFrame, since: str | None) -> DataFrame:
     """What an incremental run reads: the latest revisions of visible items after the cursor, or of unreadable time, that the ledger hasn't parked."""
-    seen = items_of(items).where(~F.col("kind").isin(*HIDDEN_KINDS)).select("item_kref")
+    seen = items_of(items).where(~hidden(F.col("kind"))).select("item_kref")
     rows = latest_revisions(revisions).where(~F.coalesce("deprecated", F.lit(False))).join(seen, "item_kref", "left_semi")
     if since is not None:
         rows = rows.where(F.col("created_at").isNull() | (F.col("created_at") > F.lit(since).cast("timestamp")))
