@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, slices, written
+from .common import by_batch, slices, small_batches, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -143,6 +143,7 @@ def token_pieces(docs: DataFrame, name: str, capacity: int = CAPACITY, end_id: i
                 cols.append(pa.array(ids_col, arrow.field(7).type))
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

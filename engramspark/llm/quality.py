@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, bytes_of, fresh
+from .common import by_batch, bytes_of, fresh, small_batches
 
 _SYMBOLS = "#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -169,6 +169,7 @@ def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 200) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns. The cascade alone runs: no feature is computed that no rule asks for."""
+    small_batches(docs.sparkSession)
     ordered = in_order(calibrate(docs, rules, sample_rows), rules)
 
     @F.pandas_udf("boolean")

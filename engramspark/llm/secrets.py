@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, bytes_of
+from .common import by_batch, bytes_of, small_batches
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -114,6 +114,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", chars_per_token: float = 2.2, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; overlapping spans are replaced as one. ``n_chars``, if there, follows. Null texts stay null."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         encode = _encoder(name)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, new_path, slices, written
+from .common import bytes_of, new_path, slices, small_batches, written
 
 LEAST_REVISIT = 1000
 _SPACE = re.compile(r"[\x00-\x20\x7f]+")
@@ -174,6 +174,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, broa
     Which rows revisit is known beforehand. Up to ``broadcast_rows`` groups of equal payloads are broadcast, so that no
     payload is shuffled; more are joined by digest, where adaptive execution splits a hot digest's rows.
     """
+    small_batches(pages.sparkSession)
     groups = written(responses(pages, least), "payloads")
     few = groups.count() <= broadcast_rows
     raw = bytes_of("html")
