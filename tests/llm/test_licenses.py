@@ -84,3 +84,58 @@ def test_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: len(r.licences) for r in L.scan_licences(docs).collect()}
     assert got == {r.doc_id: len(lines.findall(r.text)) for r in docs.collect()}
+
+
+#: A text for each known sentence, which holds nothing else.
+ALONE = {
+    "spdx": "SPDX-License-Identifier: MIT",
+    "mit-note": "Released under the MIT License.",
+    "mit-name": "The MIT License",
+    "mit-grant": MIT.split("\n\n")[2],
+    "mit-keep": MIT.split("\n\n")[3],
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit-liable": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES.',
+    "apache-note": "Licensed under the Apache License, Version 2.0.",
+    "apache-use": "You may not use this file except in compliance with the License.",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-basis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "bsd-grant": BSD.split("\n\n")[0],
+    "bsd-source": BSD.split("\n\n")[1],
+    "bsd-binary": BSD.split("\n\n")[2],
+    "bsd-endorse": ENDORSE,
+    "bsd-warranty": 'This software is provided by the copyright holders "as is" and any express or implied warranties are disclaimed.',
+    "bsd-note": "Available under the 3-Clause BSD License.",
+    "gpl-note": "Published under the GNU General Public License, version 3.",
+    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+    "gpl-either": "either version 3 of the License, or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
+    "mpl-note": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+    "mpl-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at here.",
+    "mpl-short": "Provided under the Mozilla Public License 2.0.",
+    "cc-note": "This work is published under CC BY 4.0.",
+    "cc0-note": "Released under CC0 1.0.",
+    "unlicense": "This is free and unencumbered software released into the public\ndomain.",
+    "all-rights": "All rights reserved.",
+}
+
+
+@pytest.mark.parametrize("sentence", sorted(L.SENTENCES))
+def test_sentence_alone(sentence):
+    """A sentence is known in a text that holds nothing else."""
+    assert [k.sentence for k in L.known_sentences(ALONE[sentence])] == [sentence]
+
+
+@pytest.mark.parametrize("rule", L.RULES, ids=lambda r: "+".join(r.sequence))
+def test_rule_alone(rule):
+    assert [f.sentences for f in L.licences("\n\n".join(ALONE[s].strip() for s in rule.sequence))] == [rule.sequence]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("This work is published under CC BY 4.0.", "CC-BY-4.0"), ("Available under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Released under CC0 1.0.", "CC0-1.0"), ("Available under Creative Commons Attribution 4.0.", "CC-BY-4.0")],
+)
+def test_notes_without_the_word_licence(text, want):
+    assert [f.licence for f in L.licences(text)] == [want]
