@@ -15,6 +15,7 @@ other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
@@ -34,15 +35,19 @@ _tokenizers: dict[str, object] = {}
 
 
 def tokenizer(name: str):
-    """The byte-level BPE of a vocabulary file, as ``tiktoken`` runs it: the ids are those that ``tokenizers`` gives, several times faster. Strings of special tokens are ordinary text."""
+    """The byte-level BPE of a vocabulary file, as ``tiktoken`` runs it: the ids are those that ``tokenizers`` gives, several times faster. Added tokens of a JSON file are special tokens: ``encode`` with ``allowed_special="all"`` gives their ids, ``encode_ordinary`` takes them for text."""
     if name not in _tokenizers:
         import public_tokenizers as P
         import tiktoken
 
         path = name if "/" in name else P.path(name)
+        added = {}
+        if path.endswith(".json"):
+            with open(path, "rb") as f:
+                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(path.removesuffix(".json") + ".tiktoken" if path.endswith(".json") else path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _tokenizers[name] = tiktoken.Encoding("public", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _tokenizers[name] = tiktoken.Encoding("public", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _tokenizers[name]
 
 
@@ -122,12 +127,12 @@ def token_pieces(docs: DataFrame, name: str, capacity: int = CAPACITY, end_id: i
     def each_partition(batches):
         import pyarrow as pa
 
-        encode, seen, task = tokenizer(name).encode_ordinary, [0] * (capacity + 1), TaskContext.get().partitionId()
+        encode, seen, task = tokenizer(name).encode, [0] * (capacity + 1), TaskContext.get().partitionId()
         for b in slices(batches):
             rows: list[tuple] = []
             ids_col = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text)
+                ids = encode(text, allowed_special="all")
                 ids.append(end_id)
                 raw, n, start, piece = np.array(ids, "<u4").tobytes(), len(ids), 0, 0
                 while start < n:

@@ -78,3 +78,17 @@ def test_sequences(odd):
     for r in packed.collect():
         assert seqs[r.sequence_id][r.offset : r.offset + r.length] == r.ids
     packed.unpersist()
+
+
+SPECIAL = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "one  <|endoftext|>  two\n\n<|endoftext|>\n", "<|endoftext|", "<|endoftext |> <|ENDOFTEXT|>", "don't<|endoftext|>'t é漢<|endoftext|>😀", "x " * 1500 + "<|endoftext|>" + " y" * 1500]
+
+
+def test_added_token(spark):
+    """Texts that hold the added token's string have the ids of an unchanged ``Tokenizer``."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode(SPECIAL[0], add_special_tokens=False).ids == [64, 50256, 65]
+    rows = P.pack(spark.createDataFrame([*enumerate(SPECIAL)], "doc_id long, text string"), with_ids=True).collect()
+    for i, text in enumerate(SPECIAL):
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in pieces for x in r.ids] == t.encode(text, add_special_tokens=False).ids + [2]
+        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
