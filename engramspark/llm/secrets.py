@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Random strings are poor material for a byte-pair vocabulary: they cost far more tokens than words of the same length do. A
-run of key-like characters is a candidate if it mixes kinds of characters; known digests and identifiers (hexadecimal of a
+run of at least 12 key-like characters is a candidate if it mixes kinds of characters, or is of letters of one case; known digests and identifiers (hexadecimal of a
 digest's length, UUIDs, numbers and dates, paths, dotted names and words joined by hyphens) are excluded; of the rest those with few characters per token
-are secrets. This test adds spans to those of the patterns and removes none.
+are secrets, where letters of one case, as words are, must have fewer. This test adds spans to those of the patterns and removes none.
 
 Edge cases: null and empty texts have no spans; whole texts are scanned, of any length; positions are code points; repeated
 rows give equal rows; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored (by
@@ -28,10 +28,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_ONE_CASE = re.compile(r"[a-z]+|[A-Z]+")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz" * 2
+#: Characters per token under which a run of letters of one case is random, by its least length; words of 20 letters or more are seldom under 2.
+ONE_CASE = ((20, 1.95), (12, 1.6))
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-?(?:[0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
+_STAMP = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-][0-9]{2}(?:-?[0-9]{2}){0,2}[Zz]?(?:[+-][0-9]{2,4})?")
 _NAMES = re.compile(r"(?:[A-Za-z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8})(?:[-_/+=]+(?:[A-Za-z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8}))*[-_/+=]*")
 
 
@@ -55,7 +60,7 @@ def pattern_spans(text: str) -> list[Span]:
 
 def is_identifier(run: str) -> bool:
     """Known digests and identifiers: random or not, they are no secrets by themselves."""
-    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NUMBER.fullmatch(run) or _NAMES.fullmatch(run))
+    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NUMBER.fullmatch(run) or _STAMP.fullmatch(run) or _NAMES.fullmatch(run))
 
 
 def mixed(run: str) -> bool:
@@ -64,12 +69,22 @@ def mixed(run: str) -> bool:
     return digit and (small or big) or small and big and sum(c.isupper() for c in run[1:]) >= 3
 
 
+def is_random(run: str, encode, chars_per_token: float = 2.2) -> bool:
+    """Whether a run has so few characters per token as only random strings have."""
+    if len(run) < 12:
+        return False
+    if _ONE_CASE.fullmatch(run):
+        most = next(x for n, x in ONE_CASE if len(run) >= n)
+        return len(run) < most * len(encode(run)) and run.lower() not in _ALPHABET
+    return mixed(run) and not is_identifier(run) and len(run) < chars_per_token * len(encode(run))
+
+
 def random_spans(text: str, encode, chars_per_token: float = 2.2) -> list[Span]:
-    """Runs whose characters per token under the vocabulary are under ``chars_per_token``."""
+    """Runs whose characters per token under the vocabulary are under ``chars_per_token``, or for letters of one case under ``ONE_CASE``."""
     out = []
     for m in _RUN.finditer(text):
         run = m[0].strip("=-_/+")
-        if len(run) >= 20 and mixed(run) and not is_identifier(run) and len(run) < chars_per_token * len(encode(run)):
+        if is_random(run, encode, chars_per_token):
             start = m.start() + m[0].index(run)
             out.append(Span("random", start, start + len(run)))
     return out

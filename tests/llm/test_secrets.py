@@ -68,3 +68,27 @@ def test_table(odd, none, spark):
     assert S.masked(odd).columns == odd.columns and S.masked(none).collect() == []
     # nulls stay, clean texts stay
     assert Counter(r.text for r in S.masked(odd).collect()) == Counter(S.cover(r.text, S.spans(r.text, ENCODE), "[secret]") if r.text else r.text for r in odd.collect())
+
+
+def _found(n, letters, seed=5):
+    r = random.Random(seed)
+    keys = ["".join(r.choice(letters) for _ in range(n)) for _ in range(300)]
+    return sum([f"use {k} now"[s.start : s.end] for s in S.random_spans(f"use {k} now", ENCODE)] == [k] for k in keys) / len(keys)
+
+
+def test_short_mixed_keys():
+    for n, least in ((12, 0.95), (16, 0.98), (20, 0.98)):
+        assert _found(n, string.ascii_letters + string.digits) > least
+    assert S.random_spans("Zx9QmT4vLw8", ENCODE) == []
+
+
+def test_keys_of_one_case():
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert _found(20, letters) > 0.75 and _found(40, letters) > 0.9
+    assert _found(16, string.ascii_uppercase) > 0.3
+    words = "donaudampfschifffahrtsgesellschaft RECHTSSCHUTZVERSICHERUNG anticonstitutionnellement DESAFORTUNADAMENTE VERANTWORTUNGSBEWUSSTSEIN internationalization CONFIGURATION abcdefghijklmnopqrstuvwxyz qwertyuiopasdfghjkl xxxxxxxxxxxxxxxxxxxx".split()
+    assert [w for w in words if S.random_spans(w, ENCODE)] == []
+
+
+def test_dates_are_no_keys():
+    assert [w for w in ("2024-01-02T10:15:00Z", "20240102T101500Z", "2024-01-02T10-15-00", "x86_64-linux-gnu", "RFC2616-sec14") if S.random_spans(w, ENCODE)] == []
