@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from .common import by_batch, bytes_of
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^<>"']++|"[^"]{0,4000}"|'[^']{0,4000}')*+)|([^<>]*))>|<[!?][^>]*>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)|([^<>]*))>|<[!?][^>]*>""", re.S
 )
-_HINT = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]+)))?""")
+_HINTS = frozenset("class id role aria-label itemprop".split())
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button audio video".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -59,6 +60,16 @@ class Block(NamedTuple):
     link_chars: int
 
 
+def attributes_of(inside: str) -> list[tuple[str, str]]:
+    """Names in lower case and values of the attributes in a tag."""
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(inside)]
+
+
+def is_hidden(name: str, value: str) -> bool:
+    """Whether an attribute hides its element."""
+    return name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and bool(_NOT_SHOWN.search(value))
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in page order, white space collapsed and character references decoded."""
     out: list[Block] = []
@@ -129,16 +140,17 @@ def blocks(html: str) -> list[Block]:
             elif name == "header":
                 header = True
             if attributes and name not in ("html", "body"):
-                for h in _HINT.finditer(attributes):
-                    hint = h[1] or h[2] or h[3] or ""
+                for key, hint in attributes_of(attributes):
+                    if is_hidden(key, hint):
+                        bad = True
+                    if key not in _HINTS:
+                        continue
                     if (_BAD_ARTICLE if name in _GOOD_TAGS else _BAD_HINT).search(_LAYOUT.sub("", hint)):
                         bad = True
                     elif _HEADER_HINT.search(hint):
                         header = True
                     elif _GOOD_HINT.search(hint):
                         good = True
-                if _HIDDEN.search(attributes):
-                    bad = True
             ids += 1
             stack.append((name, ids, good, bad, header))
     flush()

@@ -44,3 +44,20 @@ def test_table(odd_pages, no_pages):
     assert len(rows) == odd_pages.count() and all(r.n_chars == len(r.text) for r in rows)
     assert {r.text for r in rows if r.page_id in (3, 4)} == {""}
     assert H.extract_pages(no_pages).collect() == []
+
+
+PROSE = "This is a paragraph of running prose, long enough to count as content of the page."
+
+
+def test_hidden_is_an_attribute():
+    for shown in ('class="overflow-hidden prose"', 'aria-hidden="false"', 'class="hidden-xs hidden "', 'data-state="hidden "', "data-css='display: none'", "title='aria-hidden=true'", "aria-hidden"):
+        assert H.main_text(f"<body><article {shown}><h1>Head</h1><p>{PROSE}</p></article></body>") == f"Head\n\n{PROSE}", shown
+    for hidden in ("hidden", "class=x hidden", 'hidden=""', "HIDDEN", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"', "style='display:none'"):
+        assert H.main_text(f"<body><article><p>{PROSE}</p></article><div {hidden}><p>{PROSE}</p></div></body>") == PROSE, hidden
+
+
+def test_long_attribute_values():
+    for n in (10, 3999, 4001, 100_000):
+        for q, o in ("'\"", "\"'"):
+            value = f"{{{o}html{o}: {o}<b>a > b class={o}ad{o}</b>{o}, {o}x{o}: {o}{'y > ' * n}{o}}}"
+            assert H.main_text(f"<body><article data-json={q}{value}{q} id=a><p>{PROSE}</p></article></body>") == PROSE
