@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import context as C
@@ -27,10 +27,11 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 _SLUG = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-')"
 
 
-def _summaries(spark: SparkSession, d: str) -> DataFrame:
+def _summaries(spark: SparkSession, d: str, statement: Column | None = None) -> DataFrame:
     """Each conversation as an extraction: capitalised words are entities, what the assistant says are facts, what the user says questions."""
     m = M.messages(spark, d)
-    by = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("idx", F.substring("content", 1, 60).alias("t"))))), lambda x: x.t)
+    statement = F.col("content") if statement is None else statement
+    by = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("idx", statement.alias("t"))))), lambda x: x.t)
     words = F.regexp_extract_all(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda x: x.content), " "), F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))
     return m.groupBy("session_id").agg(words.alias("entity"), by("assistant").alias("fact"), by("user").alias("question"))
 
@@ -45,7 +46,8 @@ SELECT conv, kind, slug, pos FROM (SELECT *, row_number() OVER (PARTITION BY con
     )
 )
 def decompose_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return O.typed_nodes(_summaries(spark, d), "session_id", ["fact", "question"]).select("conv", "kind", "slug", "pos")
+    """Statements are the first 60 characters of messages, as in the SQL."""
+    return O.typed_nodes(_summaries(spark, d, F.substring("content", 1, 60)), "session_id", ["fact", "question"]).select("conv", "kind", "slug", "pos")
 
 
 @query()

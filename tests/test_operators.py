@@ -143,3 +143,14 @@ def test_commit_filter(spark):
     assert f("a", "a long subject here", "", "x/yarn.lock", "dist/a.py") == "generated_files"
     assert f("a", "Bump version to 1.2", "", "a.py") == "version_bump"
     assert f("a", "fix it", "") == "trivial" and f("a", "fix it", "", "a.py") is None
+
+
+def test_about_edges_of_late_mentions(spark, tmp_path):
+    """An entity is found wherever a message names it."""
+    from engramspark import plans
+
+    late = "words that say nothing " * 10 + "and then Grenoble at last"
+    rows = [(1, 0, "user", "Where is Lyon"), (1, 1, "assistant", late)]
+    df(spark, rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.kind, r.entity) for r in plans.QUERIES["decompose_about_edges"](spark, str(tmp_path)).collect()}
+    assert ("fact", "grenoble") in got and ("question", "lyon") in got
