@@ -64,21 +64,29 @@ def graded(claims: DataFrame, votes: DataFrame, config: Config = DEFAULT) -> Dat
     return claims.join(by, "id", "left").withColumn("grade", F.coalesce("pinned", F.when(enough, F.lit("corroborated"))))
 
 
-def merge_map(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """node and root of each node of alias pairs (a, b): roots are the components' smallest nodes. Every round takes the least label around and then that label's own label; it is written before the next, and labels that no round changes end it."""
+def merge_map(pairs: DataFrame) -> DataFrame:
+    """node and root of each node of alias pairs (a, b): roots are the components' smallest nodes.
+
+    Alternating large and small stars: each round hangs neighbours on the smallest node around and is written before the
+    next; a round that changes nothing ends it.
+    """
     from ..sources.store import written
 
-    ends = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
-    label = written(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
-    for _ in range(rounds):
-        around = ends.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        nearer = label.join(around, "node").select("node", F.least("root", "near").alias("root"))
-        hop = nearer.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        now = written(nearer.join(hop, "root", "left").select("node", F.least(F.col("root"), F.coalesce("next", "root")).alias("root")), "labels")
-        if not now.join(label, ["node", "root"], "left_anti").head(1):
-            return now
-        label = now
-    return label
+    apart = pairs.where("a <> b")
+    now, state = written(apart.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars"), None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = written(small.where("u <> v").distinct(), "stars")
+        r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if not r.n or state == (r.n, r.h):
+            break
+        state = (r.n, r.h)
+    alone = pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    return alone.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def repointed(edges: DataFrame, merges: DataFrame) -> DataFrame:
@@ -129,15 +137,15 @@ def df_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def collapse(pairs: DataFrame, group: str, budget: int) -> DataFrame:
-    """Greedy collapse of candidate pairs (group, a, b, similarity) within each group, best first: a node that went is no keeper any more. Exact, and so one group's pairs are one pandas frame."""
+def collapse(pairs: DataFrame, group: str, budget: int | None = None) -> DataFrame:
+    """Greedy collapse of candidate pairs (group, a, b, similarity) within each group, best first: a node that went is no keeper any more; at most ``budget`` go, if one is given. Exact, and so one group's pairs are one pandas frame."""
     kind = df_type(pairs, "a")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         gone: set = set()
         out = []
         for r in g.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            if len(out) >= budget:
+            if budget is not None and len(out) >= budget:
                 break
             if r.a not in gone and r.b not in gone:
                 gone.add(r.b)

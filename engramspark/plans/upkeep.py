@@ -49,7 +49,7 @@ def near_dup_decisions(spark: SparkSession, d: str) -> DataFrame:
 def fact_collapse(spark: SparkSession, d: str) -> DataFrame:
     """The greedy collapse of duplicate facts within each space, best pairs first."""
     pairs = U.duplicate_candidates(_worded(spark, d), "doc_id", "text", 0.75, ["space"])
-    return U.collapse(pairs, "space", 1_000_000)
+    return U.collapse(pairs, "space")
 
 
 @query(f"WITH {_PAIRS} SELECT b AS newer, a AS older, similarity FROM (SELECT a, b, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY b ORDER BY p.similarity DESC, a) AS k FROM p WHERE p.similarity >= 0.6E0) WHERE k = 1")

@@ -154,3 +154,15 @@ def test_about_edges_of_late_mentions(spark, tmp_path):
     df(spark, rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.kind, r.entity) for r in plans.QUERIES["decompose_about_edges"](spark, str(tmp_path)).collect()}
     assert ("fact", "grenoble") in got and ("question", "lyon") in got
+
+
+def test_merge_map_of_a_long_path(spark):
+    path = [1, *range(100, 1, -1)]
+    pairs = [*zip(path, path[1:]), (500, 500)]
+    got = {x.node: x.root for x in U.merge_map(df(spark, pairs, "a int, b int")).collect()}
+    assert got == {i: 1 for i in path} | {500: 500}
+
+
+def test_collapse_without_budget(spark):
+    pairs = df(spark, [("s", 2 * i, 2 * i + 1, 0.9) for i in range(50)], "space string, a int, b int, similarity double")
+    assert U.collapse(pairs, "space").count() == 50 and U.collapse(pairs, "space", 7).count() == 7
