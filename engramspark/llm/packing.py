@@ -9,13 +9,14 @@ prefix sums over the tasks' counts do the rest.
 
 Edge cases: a null text is empty and yields one piece, the end token; longer documents are cut into pieces of the
 capacity, of which the first may be shorter; repeated rows are packed each; an empty table gives an empty result; columns
-other than ``doc_id`` and ``text`` are ignored.
+other than ``doc_id`` and ``text`` are ignored. Texts of any length are encoded whole, runs of millions of one character too.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
@@ -32,6 +33,9 @@ CAPACITY = 1024
 END_ID = 2
 
 _tokenizers: dict[str, object] = {}
+#: ``tiktoken`` looks for the end of a run of white space by backtracking, whose stack a run of some 980,000 overflows.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 def tokenizer(name: str):
@@ -51,6 +55,28 @@ def tokenizer(name: str):
     return _tokenizers[name]
 
 
+def encoder(name: str):
+    """text -> ids of a vocabulary file, added tokens included, for texts of any length: those with very long runs of white space go through ``tokenizers`` itself."""
+    fast = tokenizer(name).encode
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+            return _exact(name).encode(text, add_special_tokens=False).ids
+        return fast(text, allowed_special="all")
+
+    return encode
+
+
+def _exact(name: str):
+    key = f"exact {name}"
+    if key not in _tokenizers:
+        import public_tokenizers as P
+        from tokenizers import Tokenizer
+
+        _tokenizers[key] = Tokenizer.from_file(name if "/" in name else P.path(name))
+    return _tokenizers[key]
+
+
 class Tree:
     """Segment tree over capacities 0..n: which of them have open bins."""
 
@@ -127,12 +153,12 @@ def token_pieces(docs: DataFrame, name: str, capacity: int = CAPACITY, end_id: i
     def each_partition(batches):
         import pyarrow as pa
 
-        encode, seen, task = tokenizer(name).encode, [0] * (capacity + 1), TaskContext.get().partitionId()
+        encode, seen, task = encoder(name), [0] * (capacity + 1), TaskContext.get().partitionId()
         for b in slices(batches):
             rows: list[tuple] = []
             ids_col = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text, allowed_special="all")
+                ids = encode(text)
                 ids.append(end_id)
                 raw, n, start, piece = np.array(ids, "<u4").tobytes(), len(ids), 0, 0
                 while start < n:

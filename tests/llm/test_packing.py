@@ -48,7 +48,6 @@ def test_tree():
 
 def test_pack(odd, none):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for r in odd.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
@@ -92,3 +91,15 @@ def test_added_token(spark):
         pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
         assert [x for r in pieces for x in r.ids] == t.encode(text, add_special_tokens=False).ids + [2]
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
+
+
+def test_very_long_runs(spark):
+    """Runs of a million and more of one character are encoded, as ``Tokenizer`` does it."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 2_000_000 + "b <|endoftext|>", "\n \t" * 400_000, "x" * 1_200_000, " " * P.LONG_SPACE, "\u2003" * 1_000_000 + "z"]
+    rows = P.pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert sum(r.length for r in pieces) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in pieces)
