@@ -1,13 +1,17 @@
 """Main text of web pages by a minimum cut.
 
-A page becomes a row of text blocks. A linear classifier over tag ancestry, class and id names, link density and length
-gives each block two costs, those of calling it boilerplate and of calling it content; they are its capacities from the
-source and to the sink. Neighbours in page order, and more so blocks under one parent, are joined by smoothness edges. The
-minimum cut is the cheapest labelling.
-
-Edge cases: null or empty html gives an empty text; html without any markup is one block; unclosed tags, stray closing
-tags and truncated pages are read as far as they go; a page of any length is read whole. Repeated rows give equal rows, an
-empty table an empty result, and columns other than ``page_id``, ``url`` and ``html`` are ignored.
+A page becomes a row of text blocks in a tree of elements. Labelling both, content or boilerplate, has a cost: a linear
+classifier over a block's own features (length, closing punctuation, link density, tag) gives its two terminal capacities,
+those of calling it boilerplate and of calling it content. Elements have none, but for those that say what they are by tag,
+role, class, id or style: menus, footers, adverts, forms, hidden ones and the like are boilerplate, ``article`` and ``main``
+are content, and names such as "content" speak for it. Smoothness edges join neighbours in page order (adjacency), and what
+an element holds with the element (proximity): content lies in content, at an infinite price, and boilerplate within content
+has a price that is higher where the page says that its article is. The minimum cut is the cheapest labelling; so a short
+line belongs to the article for its place, and a stretch of short lines and links falls with its element.
+
+Edge cases: null or empty html gives an empty text; html without any markup is one block and is kept; unclosed tags, stray
+closing tags and truncated pages are read as far as they go; a page of any length is read whole. Repeated rows give equal
+rows, an empty table an empty result, and columns other than ``page_id``, ``url`` and ``html`` are ignored.
 """
 
 from __future__ import annotations
@@ -53,13 +57,22 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "
 class Block(NamedTuple):
     text: str
     tag: str
-    parent: int
-    good: bool
-    bad: bool
-    header: bool
+    element: int
     link_chars: int
 
 
+class Element(NamedTuple):
+    """An element that holds blocks: the one around it, and what it says it is."""
+
+    parent: int
+    says: str  # "bad", "good" (it is the article), "hint" (its name is that of an article) or ""
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    elements: list[Element]  # the first is the page
+
+
 def attributes_of(inside: str) -> list[tuple[str, str]]:
     """Names in lower case and values of the attributes in a tag."""
     return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(inside)]
@@ -70,13 +83,14 @@ def is_hidden(name: str, value: str) -> bool:
     return name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and bool(_NOT_SHOWN.search(value))
 
 
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in page order, white space collapsed and character references decoded."""
+def parse(html: str) -> Page:
+    """The text blocks of a page in page order, white space collapsed and character references decoded, and the elements around them."""
     out: list[Block] = []
-    #: name, id, and what holds for the content of the element: inside a good one, a bad one, a header
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    elements = [Element(-1, "")]
+    #: name, number, and whether it lies in what says that it is the article, or is named so
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
     parts: list[str] = []
-    link, linked, ids, at, n = 0, 0, 0, 0, len(html)
+    link, linked, at, n = 0, 0, 0, len(html)
 
     def flush() -> None:
         nonlocal linked
@@ -84,9 +98,8 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                name, own, good, bad, header = stack[-1]
-                parent = stack[-2][1] if len(stack) > 1 and name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "pre") else own
-                out.append(Block(text, name, parent, good, bad, header, min(linked, len(text))))
+                name, own, _ = stack[-1]
+                out.append(Block(text, name, own, min(linked, len(text))))
         linked = 0
 
     while at < n:
@@ -131,89 +144,111 @@ def blocks(html: str) -> list[Block]:
                     break
             if name in _VOID:
                 continue
-            _, _, good, bad, header = stack[-1]
+            _, around, inside = stack[-1]
             attributes = m[3] or m[4]
-            if name in _GOOD_TAGS:
-                good = True
-            elif name in _BAD_TAGS:
-                bad = True
-            elif name == "header":
-                header = True
+            says = "good" if name in _GOOD_TAGS else "bad" if name in _BAD_TAGS else ""
+            header = name == "header"
             if attributes and name not in ("html", "body"):
                 for key, hint in attributes_of(attributes):
                     if is_hidden(key, hint):
-                        bad = True
-                    if key not in _HINTS:
+                        says = "bad"
+                    if key not in _HINTS or says == "bad":
                         continue
                     if (_BAD_ARTICLE if name in _GOOD_TAGS else _BAD_HINT).search(_LAYOUT.sub("", hint)):
-                        bad = True
+                        says = "bad"
                     elif _HEADER_HINT.search(hint):
                         header = True
-                    elif _GOOD_HINT.search(hint):
-                        good = True
-            ids += 1
-            stack.append((name, ids, good, bad, header))
+                    elif not says and _GOOD_HINT.search(hint):
+                        says = "good" if key == "role" or key == "itemprop" else "hint"
+            if header and not inside and says != "good":
+                says = "bad"
+            # an element that says nothing and holds text alone is told by the one around it
+            if says or name not in _LEAVES:
+                elements.append(Element(around, says))
+                around = len(elements) - 1
+            stack.append((name, around, inside or says in ("good", "hint")))
     flush()
-    return out
+    return Page(out, elements)
 
 
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre caption figcaption summary legend address".split())
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in _RAW}
 
 
-def costs(b: Block, any_good: bool) -> tuple[float, float]:
-    """What it costs to call the block boilerplate, and to call it content."""
+_TAG = {"p": 0.3, "pre": 0.3, "blockquote": 0.3, "h1": 0.8, "h2": 0.4, "h3": 0.3, "li": -0.1, "td": -0.1}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def score(b: Block) -> float:
+    """What a block says for itself: above 0 for content."""
     words = b.text.count(" ") + 1
-    density = b.link_chars / len(b.text)
-    score = min(words, 40) / 20.0 - 0.5  # long runs of prose are content
+    out = min(words, 40) / 20.0 - 0.9  # long runs of prose are content
     if b.text[-1] in ".!?:;\"')»”":
-        score += 0.4
-    score += {"p": 0.8, "pre": 0.6, "blockquote": 0.6, "h1": 0.8, "h2": 0.5, "h3": 0.4, "li": -0.3, "td": -0.2}.get(b.tag, 0.0)
-    score -= 3.0 * density
+        out += 0.4
+    out += _TAG.get(b.tag, 0.0) - (1.0 if b.tag in _HEADINGS else 3.0) * b.link_chars / len(b.text)
     if words < 25 and _IMPRINT.match(b.text):
-        score -= 2.5
-    if b.good:
-        score += 4.0
-    elif any_good:
-        score -= 5.0  # the page says where its article is
-    if b.header:
-        score -= 0.5 if b.good else 4.0
-    if b.bad:
-        score -= 12.0
-    return max(score, 0.0), max(-score, 0.0)
-
-
-def min_cut(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the source's side of a minimum cut. Edges carry their capacity both ways.
-
-    A node whose terminal capacity exceeds all its edges has its side already, and its edges become terminal capacities of
-    its neighbours; what this leaves is solved by maximum flow along shortest augmenting paths, level by level.
+        out -= 2.5
+    return out
+
+
+#: Price of content within boilerplate: no labelling that pays it is ever the cheapest.
+NEVER = 1e6
+
+
+class Weights(NamedTuple):
+    """Capacities of the smoothness edges, and how much speaks against what lies outside of a page's article."""
+
+    adjacency: float = 0.3  # neighbours in page order; as much again within one element
+    proximity: float = 0.35  # boilerplate within an element that is content
+    named: float = 1.2  # the same where the element, or one around it, is named as an article is
+    article: float = 2.4  # the same within the article
+    outside_named: float = 2.5
+    outside_article: float = 5.0
+    hint: float = 1.5  # terminal capacity of an element named as an article is
+
+
+WEIGHTS = Weights()
+NO_EDGES = Weights(0.0, 0.0, 0.0, 0.0)
+
+
+def min_cut(n: int, net: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
+    """True for the nodes on the source's side of a minimum cut. ``net`` is a node's capacity from the source less that to the sink; an edge (a, b, x, y) costs x if a alone is on the source's side, y if b alone is.
+
+    A node whose terminal capacity exceeds what its edges can cost has its side already, and its edges become terminal
+    capacities of its neighbours; what this leaves is solved by maximum flow along shortest augmenting paths, level by level.
     """
-    net = [a - b for a, b in zip(source, sink)]
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, c in edges:
-        if a != b and c > 0:
-            near[a][b] = near[a].get(b, 0.0) + c
-            near[b][a] = near[b].get(a, 0.0) + c
+    net = list(net)
+    to: list[dict[int, float]] = [{} for _ in range(n)]  # capacity from a node to another
+    for a, b, x, y in edges:
+        if a != b:
+            to[a][b] = to[a].get(b, 0.0) + x
+            to[b][a] = to[b].get(a, 0.0) + y
     side: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         v = todo.popleft()
-        if side[v] is None and abs(net[v]) >= sum(near[v].values()):
-            side[v] = net[v] > 0
-            for u, c in near[v].items():
-                net[u] += c if side[v] else -c
-                del near[u][v]
-                todo.append(u)
-            near[v] = {}
+        if side[v] is not None:
+            continue
+        if net[v] >= sum(to[v].values()):
+            side[v] = True
+        elif -net[v] >= sum(to[u][v] for u in to[v]):
+            side[v] = False
+        else:
+            continue
+        for u in to[v]:
+            net[u] += to[v][u] if side[v] else -to[u][v]
+            del to[u][v]
+            todo.append(u)
+        to[v] = {}
     rest = [v for v in range(n) if side[v] is None]
     if rest:
-        _max_flow(rest, net, near, side)
+        _max_flow(rest, net, to, side)
     return [bool(x) for x in side]
 
 
-def _max_flow(rest: list[int], net: list[float], near: list[dict[int, float]], side: list[bool | None]) -> None:
+def _max_flow(rest: list[int], net: list[float], to: list[dict[int, float]], side: list[bool | None]) -> None:
     eps, S, T = 1e-9, -1, -2
-    cap: dict[int, dict[int, float]] = {v: dict(near[v]) for v in rest}
+    cap: dict[int, dict[int, float]] = {v: dict(to[v]) for v in rest}
     cap[S], cap[T] = {}, {}
     for v in rest:
         if net[v] > 0:
@@ -253,45 +288,80 @@ def _max_flow(rest: list[int], net: list[float], near: list[dict[int, float]], s
                 level[v] = -9
                 path.pop()
     for v in rest:
-        side[v] = level.get(v, -9) >= 0
-    reach, queue = {S}, deque([S])  # dead ends lost their level above
-    while queue:
-        v = queue.popleft()
-        for u, c in cap[v].items():
-            if c > eps and u not in reach:
-                reach.add(u)
-                queue.append(u)
-    for v in rest:
-        side[v] = v in reach
+        side[v] = v in level
+
+
+def graph(page: Page, w: Weights = WEIGHTS) -> tuple[list[int], list[float], list[tuple[int, int, float, float]]]:
+    """The cut's nodes, their net capacities and edges. Nodes are blocks (numbers from 0) and elements (-1 - number), without those whose label an infinite edge gives away: what lies in boilerplate is boilerplate, what holds the article is content."""
+    elements = page.elements
+    bad, good, named = ([False] * len(elements) for _ in range(3))
+    for i, e in enumerate(elements):
+        up = e.parent
+        bad[i] = e.says == "bad" or up >= 0 and bad[up]
+        good[i] = not bad[i] and (e.says == "good" or up >= 0 and good[up])
+        named[i] = not bad[i] and (e.says == "hint" or up >= 0 and named[up])
+    held = [i for i, b in enumerate(page.blocks) if not bad[b.element]]
+    any_good, any_named = any(good[page.blocks[i].element] for i in held), any(named[page.blocks[i].element] for i in held)
+    content = {0}  # the page, the article and what is around it
+    for i, e in enumerate(elements):
+        if e.says == "good" and not bad[i]:
+            while i not in content:
+                content.add(i)
+                i = elements[i].parent
+    inner: list[int] = []
+    seen = set(content)
+    for i in held:
+        e = page.blocks[i].element
+        while e not in seen:
+            seen.add(e)
+            inner.append(e)
+            e = elements[e].parent
+    nodes = [-1 - e for e in sorted(inner)] + held
+    at = {x: i for i, x in enumerate(nodes)}
+    net, edges = [0.0] * len(nodes), []
+    pull = lambda e: w.article if good[e] else w.named if named[e] else w.proximity
+    for i, x in enumerate(nodes):
+        e = page.blocks[x].element if x >= 0 else -1 - x
+        if x >= 0:
+            net[i] = score(page.blocks[x])
+            if any_good and not good[e]:
+                net[i] -= w.outside_article
+            elif not any_good and any_named and not named[e]:
+                net[i] -= w.outside_named
+            around = e
+        else:
+            net[i] = w.hint if elements[e].says == "hint" else 0.0
+            around = elements[e].parent
+        if around in content:
+            net[i] += pull(around)
+        else:
+            edges.append((i, at[-1 - around], NEVER, pull(around)))
+    for a, b in zip(held, held[1:]):
+        c = w.adjacency * (2 if page.blocks[a].element == page.blocks[b].element else 1)
+        if c:
+            edges.append((at[a], at[b], c, c))
+    return nodes, net, edges
+
+
+def content_blocks(html: str, weights: Weights = WEIGHTS) -> list[str]:
+    """The page's blocks that the cut labels content."""
+    page = parse(html)
+    if len(page.blocks) == 1 and len(page.elements) == 1 and page.blocks[0].tag == "":
+        return [page.blocks[0].text]
+    nodes, net, edges = graph(page, weights)
+    return [page.blocks[x].text for x, s in zip(nodes, min_cut(len(nodes), net, edges)) if s and x >= 0]
 
 
-def content_blocks(html: str, adjacency: float = 0.25, proximity: float = 0.5) -> list[str]:
-    """The page's blocks that the cut labels content."""
-    found = blocks(html)
-    if not found:
-        return []
-    any_good = any(b.good and not b.bad for b in found)
-    both = [costs(b, any_good) for b in found]
-    edges = [(i, i + 1, adjacency + (proximity if a.parent == b.parent else 0.0)) for i, (a, b) in enumerate(zip(found, found[1:]))]
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):  # blocks of one parent that others part
-        if b.parent in last and last[b.parent] != i - 1:
-            edges.append((last[b.parent], i, proximity))
-        last[b.parent] = i
-    side = min_cut(len(found), [c[0] for c in both], [c[1] for c in both], edges)
-    return [b.text for b, s in zip(found, side) if s]
-
-
-def main_text(html: str, adjacency: float = 0.25, proximity: float = 0.5) -> str:
+def main_text(html: str, weights: Weights = WEIGHTS) -> str:
     """The content blocks, joined by blank lines."""
-    return "\n\n".join(content_blocks(html, adjacency, proximity))
+    return "\n\n".join(content_blocks(html, weights))
 
 
-def extract_pages(pages: DataFrame, adjacency: float = 0.25, proximity: float = 0.5) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Weights = WEIGHTS) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages``. No shuffle."""
 
     def each(b):
-        texts = [main_text(x.decode("utf-8", "replace"), adjacency, proximity) for x in b.column(2).to_pylist()]
+        texts = [main_text(x.decode("utf-8", "replace"), weights) for x in b.column(2).to_pylist()]
         return {"page_id": b.column(0), "url": b.column(1), "text": texts, "n_chars": [len(x) for x in texts]}
 
     kind = pages.schema["page_id"].dataType.simpleString()
