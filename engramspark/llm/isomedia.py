@@ -2,11 +2,13 @@
 
 ``wrap`` stores bytes losslessly as 8-bit samples of an ISO media file: one audio track of raw 8-bit samples, whose access
 units of 192 samples lie in chunks, with every eighth unit marked as a random access point. ``probe`` walks the nested boxes
-of any such file, decodes the sample tables (stts, stsc, stsz, stco or co64, stss) and returns codec, duration and the byte
-ranges of the keyframes. It never touches the payload.
+of any such file, track by track, decodes the sample tables (stts, stsc, stsz, stco or co64, stss) and those of movie
+fragments (trex, tfhd, trun), and returns codec, duration and the keyframes' times and byte ranges. It never touches the
+payload.
 
 Edge cases: null and empty texts become one unit of spaces; bytes of any length are padded with spaces to a positive
-multiple of 192; bytes that are no ISO media file, or are cut off, give null fields (``probe`` returns None); repeated rows
+multiple of 192; bytes that are no ISO media file, or are cut off, give null fields (``probe`` returns None, ``tracks`` an
+empty list), and a track whose tables contradict each other is left out; repeated rows
 give equal rows, an empty table an empty result; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -98,57 +100,181 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: bytes = b""
 
 
 class Media(NamedTuple):
+    """A track: ``deltas`` are runs of (samples, duration of each) in units of the timescale."""
+
+    track: int
     codec: str
     timescale: int
     duration: int
     n_samples: int
     sample_ranges: list[tuple[int, int]]
+    deltas: list[tuple[int, int]]
     keyframes: list[int]
 
     @property
     def keyframe_ranges(self) -> list[tuple[int, int]]:
         return [self.sample_ranges[i] for i in self.keyframes]
 
+    @property
+    def keyframe_times(self) -> list[int]:
+        """Decoding times of the keyframes."""
+        out, time, first = [], 0, 0
+        runs = iter([*self.deltas, (self.n_samples + 1, 0)])
+        count, delta = next(runs)
+        for k in self.keyframes:
+            while k >= first + count:
+                time, first = time + count * delta, first + count
+                count, delta = next(runs)
+            out.append(time + (k - first) * delta)
+        return out
+
+
+_NOT_SYNC = 0x10000
+
+
+def tracks(data: bytes) -> list[Media]:
+    """The tracks of an ISO media file in the order of the file; samples of movie fragments follow those of the tables. All samples are keyframes where a track lists none."""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}  # by track: duration, size and flags of fragments' samples
+    fragments: dict[int, list[tuple[int, int, int, int]]] = {}  # by track: offset, size, duration, flags of each sample
+    moof = end = 0
+    traf: dict | None = None
+    try:
+        for path, a, b in boxes(data):
+            kind = path.rpartition(b"/")[2]
+            if path == b"/moov/trak":
+                found.append({})
+            elif path.startswith(b"/moov/trak/") and found:
+                found[-1].setdefault(kind, (a, b))
+            elif path == b"/moov/mvex/trex":
+                track, _, *values = struct.unpack_from(">5I", data, a + 4)
+                defaults[track] = tuple(values)
+            elif path == b"/moof":
+                moof = end = a - (8 if data[a - 4 : a] == b"moof" else 16)
+            elif path == b"/moof/traf/tfhd":
+                traf = _track_fragment(data, a, moof, end, defaults)
+            elif path == b"/moof/traf/trun" and traf is not None:
+                samples = _run(data, a, b, traf)
+                end = traf["at"]
+                fragments.setdefault(traf["track"], []).extend(samples)
+    except (struct.error, IndexError):
+        return []
+    out = []
+    for at in found:
+        m = _track(data, at, fragments)
+        if m is not None:
+            out.append(m)
+    return out
+
+
+def _track_fragment(data: bytes, a: int, moof: int, end: int, defaults: dict[int, tuple[int, int, int]]) -> dict:
+    flags, track = struct.unpack_from(">II", data, a)
+    flags &= 0xFFFFFF
+    at, (duration, size, sync) = a + 8, defaults.get(track, (0, 0, 0))
+    base = moof if flags & 0x20000 else end
+    if flags & 1:
+        base = struct.unpack_from(">Q", data, at)[0]
+        at += 8
+    at += 4 if flags & 2 else 0
+    values = [duration, size, sync]
+    for i, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            values[i] = struct.unpack_from(">I", data, at)[0]
+            at += 4
+    return {"track": track, "base": base, "at": base, "defaults": values}
+
+
+def _run(data: bytes, a: int, b: int, traf: dict) -> list[tuple[int, int, int, int]]:
+    flags, n = struct.unpack_from(">II", data, a)
+    flags &= 0xFFFFFF
+    at, first = a + 8, None
+    if flags & 1:
+        traf["at"] = traf["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 4:
+        first = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if at + 4 * len(fields) * n > b or not fields and n > len(data):
+        raise struct.error("the run is cut off")
+    out = []
+    for i in range(n):
+        own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at + 4 * len(fields) * i)))
+        duration, size, sync = (own.get(bit, d) for bit, d in zip((0x100, 0x200, 0x400), traf["defaults"]))
+        if not i and first is not None and 0x400 not in own:
+            sync = first
+        if traf["at"] < 0 or traf["at"] + size > len(data):
+            raise struct.error("a sample lies outside of the file")
+        out.append((traf["at"], size, duration, sync))
+        traf["at"] += size
+    return out
+
+
+def _track(data: bytes, at: dict[bytes, tuple[int, int]], fragments: dict[int, list[tuple[int, int, int, int]]]) -> Media | None:
+    def u32(kind: bytes, skip: int, n: int) -> tuple[int, ...]:
+        a, b = at[kind]
+        if a + 4 + skip + 4 * n > b:
+            raise struct.error("a table is cut off")
+        return struct.unpack_from(f">{n}I", data, a + 4 + skip)
 
-def probe(data: bytes) -> Media | None:
-    """The first track of an ISO media file: codec, timescale, duration, byte range of every sample, numbers of the keyframes (all samples where the file lists none)."""
-    at: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in boxes(data):
-        at.setdefault(path.rpartition(b"/")[2], (a, b))
     try:
-        u32 = lambda kind, skip, n: struct.unpack_from(f">{n}I", data, at[kind][0] + 4 + skip)
+        a = at[b"tkhd"][0]
+        track = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
         a = at[b"mdhd"][0]
         scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
         codec = data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16].decode("latin-1")
         same, n = u32(b"stsz", 0, 2)
+        if same and same * n > len(data):
+            return None
         sizes = (same,) * n if same else u32(b"stsz", 8, n)
         if b"co64" in at:
             (k,) = u32(b"co64", 0, 1)
-            chunks = struct.unpack_from(f">{k}Q", data, at[b"co64"][0] + 8)
+            wide = u32(b"co64", 4, 2 * k)
+            chunks = tuple(x << 32 | y for x, y in zip(wide[::2], wide[1::2]))
         else:
             (k,) = u32(b"stco", 0, 1)
             chunks = u32(b"stco", 4, k)
         (m,) = u32(b"stsc", 0, 1)
         flat = u32(b"stsc", 4, 3 * m)
+        (m,) = u32(b"stts", 0, 1)
+        times = u32(b"stts", 4, 2 * m)
         if b"stss" in at:
-            (m_keys,) = u32(b"stss", 0, 1)
-            keys = [x - 1 for x in u32(b"stss", 4, m_keys)]
+            (m,) = u32(b"stss", 0, 1)
+            keys = [x - 1 for x in u32(b"stss", 4, m)]
         else:
             keys = list(range(n))
     except (KeyError, struct.error, IndexError):
         return None
+    deltas = list(zip(times[::2], times[1::2]))
     firsts, per = flat[0::3], flat[1::3]
     ranges: list[tuple[int, int]] = []
     for i, first in enumerate(firsts):
         until = firsts[i + 1] - 1 if i + 1 < len(firsts) else len(chunks)
+        if not 1 <= first <= until <= len(chunks):
+            return None
         for c in range(first - 1, until):
             where = chunks[c]
             for size in sizes[len(ranges) : len(ranges) + per[i]]:
                 ranges.append((where, size))
                 where += size
-    if len(ranges) != n or any(not 0 <= k < n for k in keys):
+    if len(ranges) != n or any(not 0 <= k < n for k in keys) or sum(k for k, _ in deltas) != n or any(a + size > len(data) for a, size in ranges):
         return None
-    return Media(codec, scale, duration, n, ranges, keys)
+    for where, size, delta, flags in fragments.get(track, ()):
+        if not flags & _NOT_SYNC:
+            keys.append(len(ranges))
+        ranges.append((where, size))
+        if deltas and deltas[-1][1] == delta:
+            deltas[-1] = (deltas[-1][0] + 1, delta)
+        else:
+            deltas.append((1, delta))
+    if track in fragments:  # the tables' duration is that of the tables' samples
+        duration = sum(k * d for k, d in deltas)
+    return Media(track, codec, scale, duration, len(ranges), ranges, deltas, keys)
+
+
+def probe(data: bytes) -> Media | None:
+    """The first track of an ISO media file, or None."""
+    return next(iter(tracks(data)), None)
 
 
 def payload_of(data: bytes, media: Media) -> bytes:
@@ -185,20 +311,21 @@ def store_media(docs: DataFrame, path: str) -> None:
 
 
 def media_facts(media: DataFrame) -> DataFrame:
-    """codec, timescale, duration and keyframe byte ranges, as columns beside those of the media table but for ``media``. No payload is decoded."""
+    """codec, timescale, duration and keyframes (time and byte range) of the first track, and the same of ``tracks``, beside doc_id and n_bytes. No payload is decoded."""
+
+    def facts(m: Media) -> dict:
+        keys = [{"time": t, "offset": a, "length": n} for t, (a, n) in zip(m.keyframe_times, m.keyframe_ranges)]
+        return {"track": m.track, "codec": m.codec, "timescale": m.timescale, "duration": m.duration, "keyframes": keys}
 
     def each(b):
-        found = [probe(x or b"") for x in b.column("media").to_pylist()]
-        get = lambda f: [None if m is None else f(m) for m in found]
-        return {c: b.column(c) for c in ("doc_id", "n_bytes")} | {
-            "codec": get(lambda m: m.codec),
-            "timescale": get(lambda m: m.timescale),
-            "duration": get(lambda m: m.duration),
-            "keyframes": get(lambda m: [{"offset": a, "length": n} for a, n in m.keyframe_ranges]),
-        }
+        found = [[facts(m) for m in tracks(x or b"")] for x in b.column("media").to_pylist()]
+        get = lambda c: [f[0][c] if f else None for f in found]
+        return {c: b.column(c) for c in ("doc_id", "n_bytes")} | {c: get(c) for c in ("codec", "timescale", "duration", "keyframes")} | {"tracks": found}
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return by_batch(media.select("doc_id", "n_bytes", "media"), each, f"doc_id {kind}, n_bytes long, codec string, timescale long, duration long, keyframes array<struct<offset long, length long>>")
+    keys = "keyframes array<struct<time long, offset long, length long>>"
+    one = f"codec string, timescale long, duration long, {keys}"
+    return by_batch(media.select("doc_id", "n_bytes", "media"), each, f"doc_id {kind}, n_bytes long, {one}, tracks array<struct<track long, {one}>>")
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:

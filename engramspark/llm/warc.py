@@ -1,12 +1,15 @@
 """Web archives: a converter from the legacy ARC format to WARC, a WARC writer with revisit records, and a reader.
 
 ``arc_records`` parses ARC files of version 1 (URL, IP, date, type, length) and version 2 (with result code, checksum,
-location, offset and file name) by their header lines and declared lengths. ``to_warc`` synthesises for each record the
-equivalent WARC headers: an identifier that is a function of the record, the timestamp, the type and the payload digest.
+location, offset and file name) by their header lines and declared lengths; what a record declares may be a whole HTTP
+response, status line and headers first. ``to_warc`` synthesises for each record the equivalent WARC headers: an identifier
+that is a function of the record, the timestamp, the type (``response`` for HTTP, ``resource`` for what has no HTTP head),
+the digest of the block, and that of the payload, which is the HTTP entity. A revisit's block is the HTTP head alone.
 
 ``write_archives`` converts pages and writes one compressed archive per task into a folder that all executors share. A
 task's attempt writes a file of its own name, and only files that the manifest lists are read; so an attempt that is
-lost leaves nothing behind that counts.
+lost leaves nothing behind that counts. Pages have no dates: all records carry one. Folders are those that ``pyarrow`` can
+write to (local ones, HDFS, and S3, whose ``s3a`` it calls ``s3``).
 
 Edge cases: null html is an empty payload, null urls become ``urn:page:<id>``; of rows that share the largest page_id of a
 group of equal payloads all are responses; a null page_id counts as smaller than any other, and a group of null ids alone
@@ -34,6 +37,8 @@ from .common import bytes_of, new_path, slices, small_batches, written
 LEAST_REVISIT = 1000
 _SPACE = re.compile(r"[\x00-\x20\x7f]+")
 _STAMP = "20240101000000"
+#: Pages in one ARC file, which passes through memory.
+ARC_PAGES = 64
 
 
 class ArcRecord(NamedTuple):
@@ -113,22 +118,40 @@ def warc_date(arc: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+_STATUS = re.compile(rb"HTTP/[0-9.]+ [0-9]{3}(?: [^\r\n]*)?\r?\n")
+
+
+def http_parts(block: bytes) -> tuple[bytes, bytes] | None:
+    """The head of an HTTP response, its blank line included, and the entity; None for what is no response. A head without a blank line has an empty entity."""
+    if not _STATUS.match(block):
+        return None
+    ends = [(i + n, i) for i, n in ((block.find(b"\r\n\r\n"), 4), (block.find(b"\n\n"), 2)) if i >= 0]
+    end = min(ends, key=lambda x: x[1])[0] if ends else len(block)
+    return block[:end], block[end:]
+
+
 def to_warc(arc: ArcRecord, key: str, refers_to: str | None = None) -> WarcRecord:
-    """The WARC record that is equivalent to an ARC record: a response, or a revisit of the record ``refers_to`` names."""
-    head = {
-        "WARC-Type": "revisit" if refers_to else "response",
+    """The WARC record that is equivalent to an ARC record: a response (a resource where the ARC record has no HTTP head), or a revisit of the record ``refers_to`` names."""
+    http = http_parts(arc.body)
+    head, payload = http or (b"", arc.body)
+    block = arc.body if not refers_to else head
+    headers = {
+        "WARC-Type": "revisit" if refers_to else "response" if http else "resource",
         "WARC-Record-ID": record_id(key),
         "WARC-Date": warc_date(arc.date),
         "WARC-Target-URI": arc.url,
         "WARC-IP-Address": arc.ip,
-        "WARC-Payload-Digest": base32_sha1(arc.body),
+        "WARC-Block-Digest": base32_sha1(block),
+        "WARC-Payload-Digest": base32_sha1(payload),
         "WARC-Page-Key": key,
-        "WARC-Payload-Length": str(len(arc.body)),
+        "WARC-Payload-Length": str(len(payload)),
+        "Content-Type": "application/http; msgtype=response" if http else arc.content_type,
     }
-    if not refers_to:
-        return WarcRecord(head | {"Content-Type": arc.content_type}, arc.body)
-    profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    return WarcRecord(head | {"WARC-Profile": profile, "WARC-Refers-To": record_id(refers_to), "WARC-Refers-To-Page": refers_to}, b"")
+    if http:
+        headers["WARC-Identified-Payload-Type"] = arc.content_type
+    if refers_to:
+        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "WARC-Refers-To-Page": refers_to}
+    return WarcRecord(headers, block)
 
 
 def warc_records(f: BinaryIO) -> Iterator[WarcRecord]:
@@ -154,10 +177,17 @@ def warc_records(f: BinaryIO) -> Iterator[WarcRecord]:
         yield WarcRecord(headers, after[:n])
 
 
+def arrow_uri(uri: str) -> str:
+    """A path as Hadoop names it, as ``pyarrow`` does."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    return uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
+
+
 def _fs(uri: str):
+    """The file system of a URI, and the path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def responses(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -185,26 +215,35 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, broa
     pages.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(pages.sparkSession._jvm.org.apache.hadoop.fs.Path(path))
 
     def each(batches):
-        task, n = TaskContext.get(), 0
+        task, n, nth = TaskContext.get(), 0, 0
         fs, base = _fs(path)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            for b in slices(batches):
-                for page, url, refers, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    arc = legacy(page, url, payload, 1 + n % 2)
-                    (record,) = arc_records(arc)
+            for b in slices(batches, ARC_PAGES):
+                rows = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+                nth += 1
+                arc = legacy([(page, url, payload) for page, url, _, payload in rows], 1 + nth % 2)
+                found = 0
+                for record, (page, _, refers, _) in zip(arc_records(arc), rows):
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                     out.write(pack.compress(warc_bytes(to_warc(record, page if page is not None else "-", refers))) + pack.flush())
-                    n += 1
+                    found += 1
+                if found != len(rows):
+                    raise ValueError(f"{name}: {found} of {len(rows)} records were read back")
+                n += found
         yield pa.RecordBatch.from_pandas(pd.DataFrame({"file": [f"{path}/{name}"], "records": [n]}), preserve_index=False)
 
     return written(rows.mapInArrow(each, "file string, records long"), "manifest").where("records > 0")
 
 
-def legacy(page: str | None, url: str | None, payload: bytes, version: int) -> bytes:
-    """An ARC file that holds the page, of either version in turn."""
-    target = _SPACE.sub("%20", url.strip()) if url and url.strip() else f"urn:page:{page}"
-    return arc_file(version, "pages.arc", [ArcRecord(target, "0.0.0.0", _STAMP, "text/html", "200", None, payload)])
+def legacy(pages: list[tuple[str | None, str | None, bytes]], version: int) -> bytes:
+    """An ARC file that holds the pages (key, url, payload), each as a server would have sent it."""
+    records = []
+    for page, url, payload in pages:
+        target = _SPACE.sub("%20", url.strip()) if url and url.strip() else f"urn:page:{page}"
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        records.append(ArcRecord(target, "0.0.0.0", _STAMP, "text/html", "200", None, head + payload))
+    return arc_file(version, "pages.arc", records)
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -236,16 +275,17 @@ def _row(r: WarcRecord, payloads: bool) -> dict:
     h = r.headers
     revisit, stated, key = h["WARC-Type"] == "revisit", h["WARC-Payload-Digest"], h["WARC-Page-Key"]
     digest = base64.b32decode(stated.removeprefix("sha1:")).hex()
-    if not revisit and hashlib.sha1(r.body).hexdigest() != digest:
-        raise ValueError(f"{h['WARC-Record-ID']}: the payload doesn't have the digest stated")
+    _, body = http_parts(r.body) or (b"", r.body)
+    if h["WARC-Block-Digest"] != base32_sha1(r.body) or not revisit and hashlib.sha1(body).hexdigest() != digest:
+        raise ValueError(f"{h['WARC-Record-ID']}: block or payload doesn't have the digest stated")
     return {
         "page_id": None if key == "-" else key,
         "url": h["WARC-Target-URI"],
         "record_type": h["WARC-Type"],
-        "payload_bytes": int(h["WARC-Payload-Length"]) if revisit else len(r.body),
+        "payload_bytes": int(h["WARC-Payload-Length"]) if revisit else len(body),
         "payload_digest": digest,
         "refers_to": h.get("WARC-Refers-To-Page"),
-    } | ({"payload": None if revisit else r.body} if payloads else {})
+    } | ({"payload": None if revisit else body} if payloads else {})
 
 
 def archived(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
