@@ -11,6 +11,12 @@ fingerprints share is not joined within itself: its fingerprints look up all val
 radius 2 instead, by whole fingerprints, which finds the same links with no key that repeats. Links make components by large
 and small stars.
 
+A text of which every thirtieth word was changed is ten bits away, out of reach of any ball. ``without_copies`` therefore
+looks a second time at the one document that it keeps of each component: segments, runs of some seven words whose ends the
+words themselves decide, are fingerprinted too, and documents are linked that have ``share`` of the longer one's distinct
+segments in common. Within a segment no pairs are made: each of its documents is held against the segment's first under
+each of three orders, so copies of one text, thousands of them, all meet the same few; what is left meets again.
+
 Edge cases: a null or empty text, or one of spaces, has fingerprint 0 and links like any other; a text of one or two words
 is one shingle; repeated rows are separate documents of equal fingerprint; null doc_ids are kept, and a component is named
 by its smallest doc_id (null if it has none); an empty table gives an empty result; columns other than ``doc_id`` and
@@ -19,6 +25,8 @@ by its smallest doc_id (null if it has none); an empty table gives an empty resu
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,14 +52,29 @@ def fingerprint(raw: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (64 bits) and fp (the fingerprint as a signed long) of each row. No shuffle."""
+def segments(raw: bytes, every: int = 6, least: int = 3) -> list[int]:
+    """The fingerprints of a text's distinct segments, signed. A segment ends at a word whose hash is divisible by ``every``, after ``least`` words at the earliest; case and punctuation at the ends of words don't count."""
+    words = [w.strip(b".,;:!?\"'()") for w in raw.lower().split()]
+    h, found, at = xxhash.xxh64_intdigest, set(), 0
+    for i, w in enumerate(words, 1):
+        if i - at >= least and not zlib.crc32(w) % every:
+            found.add(h(b" ".join(words[at:i]), SEED))
+            at = i
+    if at < len(words):
+        found.add(h(b" ".join(words[at:]), SEED))
+    return [x - (1 << 64) if x >> 63 else x for x in sorted(found)]
+
+
+def fingerprints(docs: DataFrame, parts: bool = False) -> DataFrame:
+    """doc_id, text_hash (64 bits) and fp (the fingerprint as a signed long) of each row, with ``parts`` also the fingerprints of its segments. No shuffle."""
 
     def each(b):
-        return {"doc_id": b.column(0), "text_hash": b.column(1), "fp": np.array([fingerprint(x) for x in b.column(2).to_pylist()], "<u8").view("<i8")}
+        raws = b.column(2).to_pylist()
+        out = {"doc_id": b.column(0), "text_hash": b.column(1), "fp": np.array([fingerprint(x) for x in raws], "<u8").view("<i8")}
+        return out | ({"parts": [segments(x) for x in raws]} if parts else {})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_batch(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), bytes_of().alias("raw")), each, f"doc_id {kind}, text_hash long, fp long")
+    return by_batch(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), bytes_of().alias("raw")), each, f"doc_id {kind}, text_hash long, fp long" + ", parts array<long>" * parts)
 
 
 def _differing(a: str, b: str) -> Column:
@@ -132,21 +155,65 @@ def contract(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
-def without_copies(docs: DataFrame, hot: int = 8192, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id (nulls last), then of the smallest text hash; all its columns are kept.
+#: Added to nodes by exclusive or, they make other orders.
+_ORDERS = (0, 0x5DEECE66D1234567, -0x61C8864680B583EB)
+
+
+def segment_links(texts: DataFrame, share: float = 0.45, least: int = 8) -> DataFrame:
+    """Pairs (a, b) of nodes of ``texts`` (node, parts; distinct) that have at least ``share`` of the longer one's segments in common. Nodes of fewer than ``least`` segments have no links.
+
+    In rounds: each node is held against the first nodes of its segments, and the later node of every pair found leaves, until
+    no pair is found. So all that is left of many copies of one text meets again, and no round makes pairs within a segment.
+    """
+    rows = texts.select("node", F.size("parts").alias("n"), "parts").where(F.col("n") >= least)
+    each = rows.select("node", "n", F.explode("parts").alias("part"))
+    shared = each.groupBy("part").agg(F.count("*").alias("times")).where("times > 1").select("part")
+    each = written(each.join(shared, "part", "left_semi"), "parts")
+    sizes = written(each.select("node", "n").distinct(), "sizes").select(F.col("node").alias("first"), F.col("n").alias("m"))
+    orders = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in _ORDERS]
+    out = None
+    while True:
+        firsts = each.groupBy("part").agg(F.array_distinct(F.array(*orders)).alias("firsts"))
+        met = each.join(firsts, "part").select("node", "n", F.explode("firsts").alias("first")).where("node != first")
+        met = met.groupBy("node", "first").agg(F.max("n").alias("n"), F.count("*").alias("common")).where(F.col("common") >= share * F.col("n"))
+        close = met.join(sizes, "first").where(F.col("common") >= share * F.col("m"))
+        close = written(close.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "links")
+        out = close if out is None else out.unionByName(close)
+        if not close.head(1):
+            return out
+        each = written(each.join(close.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "parts")
+
+
+def without_copies(docs: DataFrame, hot: int = 8192, broadcast_rows: int = 2_000_000, share: float | None = 0.45) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (nulls last), then of the smallest text hash; all its columns are kept. Of rows so kept that ``segment_links`` joins, again one stays (``share`` None: all).
 
     The rows that go, two numbers each, are broadcast if they are no more than ``broadcast_rows``, so no text is shuffled;
     more are taken out by a shuffled join.
     """
-    rows = written(fingerprints(docs), "fingerprints")
+    rows = written(fingerprints(docs, parts=share is not None), "fingerprints")
     found = written(grouped(rows, hot).select("root", "doc_id", "text_hash"), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = found.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("first") != F.col("last")).select("root", "first")
-    going = found.join(first, "root").where(order != F.col("first")).select(F.col("doc_id").alias("go_doc"), F.col("text_hash").alias("go_hash")).distinct()
-    going = written(going, "copies")
-    few = going.count() <= broadcast_rows
+
+    def rest(found: DataFrame) -> DataFrame:
+        first = found.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("first") != F.col("last")).select("root", "first")
+        out = found.join(first, "root").where(order != F.col("first")).select(F.col("doc_id").alias("go_doc"), F.col("text_hash").alias("go_hash")).distinct()
+        return written(out, "copies")
+
+    def without(df: DataFrame, hash_name: str, going: DataFrame) -> DataFrame:
+        few = going.count() <= broadcast_rows
+        return df.join(F.broadcast(going) if few else going, (df[hash_name] == going["go_hash"]) & df["doc_id"].eqNullSafe(going["go_doc"]), "left_anti")
+
+    going = rest(found)
+    if share is not None:
+        kept = without(rows, "text_hash", going)
+        nodes = kept.select(F.col("fp").alias("node"), "parts")
+        if rows.groupBy("fp").agg(F.countDistinct("doc_id", "text_hash").alias("k"), F.count("*").alias("n")).where("n > k").head(1):
+            nodes = nodes.dropDuplicates(["node"])
+        roots = components(written(segment_links(nodes, share), "links"))
+        named = kept.select("doc_id", "text_hash", "fp").join(roots.withColumnRenamed("node", "fp"), "fp")
+        going = written(going.unionByName(rest(named.select("root", "doc_id", "text_hash"))), "copies")
     (h,) = fresh(docs, "copies_hash")
     left = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = left.join(F.broadcast(going) if few else going, (left[h] == going["go_hash"]) & left["doc_id"].eqNullSafe(going["go_doc"]), "left_anti")
+    kept = without(left, h, going)
     twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").head(1)
     return (kept.dropDuplicates(["doc_id", h]) if twice else kept).drop(h)
