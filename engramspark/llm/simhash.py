@@ -166,22 +166,29 @@ def segment_links(texts: DataFrame, share: float = 0.45, least: int = 8) -> Data
     no pair is found. So all that is left of many copies of one text meets again, and no round makes pairs within a segment.
     """
     rows = texts.select("node", F.size("parts").alias("n"), "parts").where(F.col("n") >= least)
-    each = rows.select("node", "n", F.explode("parts").alias("part"))
+    each = rows.select("node", F.explode("parts").alias("part"))
     shared = each.groupBy("part").agg(F.count("*").alias("times")).where("times > 1").select("part")
-    each = written(each.join(shared, "part", "left_semi"), "parts")
-    sizes = written(each.select("node", "n").distinct(), "sizes").select(F.col("node").alias("first"), F.col("n").alias("m"))
+    sizes = rows.select("node", "n")
+    each = _promising(written(each.join(shared, "part", "left_semi"), "parts"), sizes, share)
     orders = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in _ORDERS]
     out = None
     while True:
         firsts = each.groupBy("part").agg(F.array_distinct(F.array(*orders)).alias("firsts"))
-        met = each.join(firsts, "part").select("node", "n", F.explode("firsts").alias("first")).where("node != first")
-        met = met.groupBy("node", "first").agg(F.max("n").alias("n"), F.count("*").alias("common")).where(F.col("common") >= share * F.col("n"))
-        close = met.join(sizes, "first").where(F.col("common") >= share * F.col("m"))
+        met = each.join(firsts, "part").select("node", F.explode("firsts").alias("first")).where("node != first")
+        met = met.groupBy("node", "first").agg(F.count("*").alias("common"))
+        met = met.join(sizes, "node").where(F.col("common") >= share * F.col("n")).drop("n")
+        close = met.join(sizes.withColumnsRenamed({"node": "first", "n": "m"}), "first").where(F.col("common") >= share * F.col("m"))
         close = written(close.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "links")
         out = close if out is None else out.unionByName(close)
         if not close.head(1):
             return out
-        each = written(each.join(close.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "parts")
+        each = _promising(each.join(close.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), sizes, share)
+
+
+def _promising(each: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """The segments (node, part; those of more than one node) of nodes that still have the share of theirs in common with any: no other can have a link."""
+    enough = each.groupBy("node").agg(F.count("*").alias("common")).join(sizes, "node").where(F.col("common") >= share * F.col("n")).select("node")
+    return written(each.join(enough, "node", "left_semi"), "parts")
 
 
 def without_copies(docs: DataFrame, hot: int = 8192, broadcast_rows: int = 2_000_000, share: float | None = 0.45) -> DataFrame:
