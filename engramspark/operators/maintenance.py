@@ -12,6 +12,7 @@ from ..functions import evidence as E
 from ..functions.privacy import differ_in_kind
 from ..functions.text import tokens
 from ..schemas import DEFAULT, EVIDENCE_RANK, Config
+from ..sources.store import written
 from .ranking import numbered
 from .similarity import similar_pairs
 
@@ -70,8 +71,6 @@ def merge_map(pairs: DataFrame) -> DataFrame:
     Alternating large and small stars: each round hangs neighbours on the smallest node around and is written before the
     next; a round that changes nothing ends it.
     """
-    from ..sources.store import written
-
     apart = pairs.where("a <> b")
     now, state = written(apart.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars"), None
     while True:
@@ -138,8 +137,12 @@ def df_type(df: DataFrame, column: str) -> str:
 
 
 def collapse(pairs: DataFrame, group: str, budget: int | None = None) -> DataFrame:
-    """Greedy collapse of candidate pairs (group, a, b, similarity) within each group, best first: a node that went is no keeper any more; at most ``budget`` go, if one is given. Exact, and so one group's pairs are one pandas frame."""
-    kind = df_type(pairs, "a")
+    """Greedy collapse of candidate pairs (group, a, b, similarity) within each group, best first: a node that went is no keeper any more; at most ``budget`` go, if one is given.
+
+    What a pair decides stays within its component of pairs, so without a budget each component is a pandas frame of its own;
+    a budget is spent over a whole group, whose pairs are then one frame.
+    """
+    kind, own = df_type(pairs, "a"), df_type(pairs, group)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         gone: set = set()
@@ -152,4 +155,10 @@ def collapse(pairs: DataFrame, group: str, budget: int | None = None) -> DataFra
                 out.append((r.a, r.b))
         return pd.DataFrame([(g[group].iloc[0], a, b) for a, b in out], columns=[group, "keeper", "loser"])
 
-    return pairs.select(group, "a", "b", "similarity").groupBy(group).applyInPandas(run, f"{group} {df_type(pairs, group)}, keeper {kind}, loser {kind}")
+    rows = pairs.select(group, "a", "b", "similarity")
+    schema = f"{group} {own}, keeper {kind}, loser {kind}"
+    if budget is not None:
+        return rows.groupBy(group).applyInPandas(run, schema)
+    rows = written(rows, "collapse")
+    named = merge_map(rows).withColumnsRenamed({"node": "a", "root": "__root"})
+    return rows.join(named, "a").groupBy(group, "__root").applyInPandas(run, schema)

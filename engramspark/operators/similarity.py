@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, jaccard
+from ..functions.text import jaccard
 from ..sources.store import written
 
 
@@ -56,27 +58,79 @@ def best_match(pairs: DataFrame, key: str, other: str, score: str = "similarity"
     return pairs.groupBy(key).agg(F.max_by(F.struct(other, score), F.struct(F.col(score), -F.col(other))).alias("x")).select(key, f"x.{other}", f"x.{score}")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, ident: str, vector: str, k: int, least: float = -1.0, block: int = 64) -> DataFrame:
-    """The ``k`` nearest rows of ``corpus`` to each of a bounded set of queries, by cosine. Queries are broadcast in one block after the check of their number; each task keeps its own best ``k``."""
-    n = queries.count()
-    if n > 50_000:
-        raise ValueError(f"{n} queries are more than one broadcast block; call per block")
-    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("__q"))
-    scored = corpus.select(F.col(ident).alias("neighbour_id"), F.col(vector).alias("__v")).join(F.broadcast(q), F.col("neighbour_id") != F.col("query_id")).select("query_id", "neighbour_id", cosine(F.col("__q"), F.col("__v")).alias("score"))
-    from .ranking import top_k
+def nearest(queries: DataFrame, corpus: DataFrame, ident: str, vector: str, k: int, least: float = -1.0, block: int = 8192) -> DataFrame:
+    """The ``k`` nearest rows of ``corpus`` to each query, by cosine (0 for zero vectors), ties by id; a query isn't its own neighbour.
 
-    return top_k(scored.where(F.col("score") >= least), ["query_id"], [F.col("score").desc(), F.col("neighbour_id")], k)
-
-
-def mentions(texts: DataFrame, ident: str, words: str, names: DataFrame, name: str, longest: int = 4) -> DataFrame:
-    """(ident, name) where a name's words stand next to each other in a text: n-grams of the text meet the names by an equi-join."""
+    Queries go in blocks of at most ``block``, numbered without one task that holds them. A block is broadcast as a matrix, and
+    every task over the corpus makes one matrix product per Arrow batch and keeps the best ``k`` of each query, so what is
+    shuffled is k rows per query and task. Vectors that are shorter than the longest query are filled with zeros.
+    """
+    from .ranking import numbered, top_k
+
+    spark, kind = corpus.sparkSession, corpus.schema[ident].dataType.simpleString()
+    q = numbered(queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("__q")), [F.col("query_id")], "__n").withColumn("__b", F.floor((F.col("__n") - 1) / block))
+    blocks = q.agg(F.max("__b").alias("b")).first().b
+    out = spark.createDataFrame([], f"query_id {kind}, neighbour_id {kind}, score double")
+    for i in range(0 if blocks is None else blocks + 1):
+        rows = q.where(F.col("__b") == i).select("query_id", "__q").orderBy("query_id").collect()  # at most ``block`` vectors
+        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], _unit([r["__q"] for r in rows])))
+
+        def each(frames, shared=shared):
+            ids, m = shared.value
+            best_score, best_id = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), object)
+            names = np.array(ids, object)
+            for f in frames:
+                v = _unit(f["__v"].tolist(), m.shape[1])
+                score = m @ v.T
+                own = f["neighbour_id"].to_numpy(object)
+                score[names[:, None] == own[None, :]] = -np.inf
+                score, own = np.hstack([best_score, score]), np.hstack([best_id, np.broadcast_to(own, (len(ids), len(own)))])
+                order = _best(score, own, k)
+                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
+            keep = best_score >= max(least, -2.0)
+            yield pd.DataFrame({"query_id": np.repeat(names, keep.sum(axis=1)), "neighbour_id": best_id[keep], "score": best_score[keep]})
+
+        found = corpus.select(F.col(ident).alias("neighbour_id"), F.col(vector).alias("__v")).mapInPandas(each, f"query_id {kind}, neighbour_id {kind}, score double")
+        out = out.unionByName(top_k(found, ["query_id"], [F.col("score").desc(), F.col("neighbour_id")], k).drop("rank"))
+    return out
+
+
+def _unit(vectors: list, width: int | None = None) -> np.ndarray:
+    """Vectors of length 1 (zero vectors stay), filled or cut to one width."""
+    vectors = [[] if v is None else v for v in vectors]
+    width = max(map(len, vectors), default=0) if width is None else width
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : min(len(v), width)] = v[:width]
+    norm = np.array([np.sqrt(np.square(np.asarray(v, float)).sum()) for v in vectors]).reshape(-1, 1)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _best(score: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best ``k`` of each row: by score, then by the smaller id."""
+    if score.shape[1] > 4 * k + 64:  # all that reach the k-th score come into question
+        kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        out = np.empty((len(score), k), int)
+        for i in range(len(score)):
+            at = np.flatnonzero(score[i] >= kth[i])
+            out[i] = at[np.lexsort((own[i, at].astype(own[i, at[0]].__class__), -score[i, at]))[:k]]
+        return out
+    return np.array([np.lexsort((own[i].astype(own[i, 0].__class__), -score[i]))[:k] for i in range(len(score))]).reshape(len(score), -1)
+
+
+def mentions(texts: DataFrame, ident: str, words: str, names: DataFrame, name: str) -> DataFrame:
+    """(ident, name) where a name's words stand next to each other in a text: n-grams of the text, of the lengths that names have, meet the names by an equi-join."""
     w = F.col(words)
 
     def of(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
-    own = F.flatten(F.array(*(F.when(F.size(w) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1))))
-    return texts.select(ident, F.explode(F.array_distinct(own)).alias(name)).join(names.select(name).distinct(), name)
+    known = names.select(name).where(F.col(name) != "").distinct()
+    lengths = sorted(r.n for r in known.select(F.size(F.split(name, " ")).alias("n")).distinct().collect())  # a row per length
+    if not lengths:
+        return texts.select(ident, F.lit("").alias(name)).where(F.lit(False))
+    own = F.flatten(F.array(*(F.when(F.size(w) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in lengths)))
+    return texts.select(ident, F.explode(F.array_distinct(own)).alias(name)).join(known, name)
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -27,40 +27,49 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 _SLUG = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-')"
 
 
-def _summaries(spark: SparkSession, d: str, statement: Column | None = None) -> DataFrame:
+def _cut(slug: str) -> str:
+    """A slug of more than 80 characters, cut, with a hash of the whole."""
+    return f"CASE WHEN length({slug}) > 80 THEN substr({slug}, 1, 80) || '-' || substr(sha256({slug}), 1, 8) ELSE {slug} END"
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation as an extraction: capitalised words are entities, what the assistant says are facts, what the user says questions."""
     m = M.messages(spark, d)
-    statement = F.col("content") if statement is None else statement
-    by = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("idx", statement.alias("t"))))), lambda x: x.t)
-    words = F.regexp_extract_all(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda x: x.content), " "), F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))
+    by = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("idx", F.col("content").alias("t"))))), lambda x: x.t)
+    words = F.regexp_extract_all(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda x: x.content), " "), F.lit(_NAME), F.lit(0))
     return m.groupBy("session_id").agg(words.alias("entity"), by("assistant").alias("fact"), by("user").alias("question"))
 
 
-@query(
-    with_views(
-        "v_messages",
-        body=rf"""f AS (SELECT session_id AS conv, 'fact' AS kind, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS pos, substr(content, 1, 60) AS text FROM v_messages WHERE role = 'assistant'
-  UNION ALL SELECT session_id, 'question', row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1, substr(content, 1, 60) FROM v_messages WHERE role = 'user'),
-s AS (SELECT *, {_SLUG.format("text")} AS slug FROM f), g AS (SELECT conv, kind, slug, min(pos) AS pos FROM s WHERE slug <> '' GROUP BY conv, kind, slug)
-SELECT conv, kind, slug, pos FROM (SELECT *, row_number() OVER (PARTITION BY conv, kind ORDER BY pos) AS nth FROM g) WHERE nth <= 20""",
-    )
-)
+_NAME = "[A-Z][a-z]+"
+_SAID = "SELECT session_id AS conv, '{1}' AS kind, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS pos, content AS text FROM v_messages WHERE role = '{0}'"
+_NODES = rf"""e AS (SELECT session_id AS conv, regexp_extract_all(string_agg(content, ' ' ORDER BY idx), '{_NAME}') AS w FROM v_messages GROUP BY session_id),
+f AS (SELECT conv, 'entity' AS kind, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS text FROM e UNION ALL {_SAID.format("assistant", "fact")} UNION ALL {_SAID.format("user", "question")}),
+s0 AS (SELECT *, {_SLUG.format("text")} AS long FROM f), s AS (SELECT conv, kind, pos, text, {_cut("long")} AS slug FROM s0 WHERE long <> ''), g AS (SELECT conv, kind, slug, min(pos) AS pos, min_by(text, pos) AS text FROM s GROUP BY conv, kind, slug),
+nodes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv, kind ORDER BY pos) AS nth FROM g) WHERE nth <= 20)"""
+
+
+@query(with_views("v_messages", body=f"{_NODES} SELECT conv, kind, slug, pos FROM nodes WHERE kind <> 'entity'"))
 def decompose_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Statements are the first 60 characters of messages, as in the SQL."""
-    return O.typed_nodes(_summaries(spark, d, F.substring("content", 1, 60)), "session_id", ["fact", "question"]).select("conv", "kind", "slug", "pos")
+    return O.typed_nodes(_summaries(spark, d), "session_id", ["fact", "question"]).select("conv", "kind", "slug", "pos")
 
 
-@query()
+@query(with_views("v_messages", body=f"{_NODES} SELECT conv, slug, text AS title, 'ABOUT' AS edge_type FROM nodes WHERE kind = 'entity' AND nth <= 8"))
 def promote_entities(spark: SparkSession, d: str) -> DataFrame:
     return O.promoted(_summaries(spark, d), "session_id")
 
 
-@query()
+_SPACED = r"' ' || array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+'), ' ') || ' '"
+
+
+@query(with_views("v_messages", body=f"{_NODES} SELECT DISTINCT a.conv, a.kind, a.slug, b.slug AS entity FROM nodes a JOIN nodes b ON a.conv = b.conv AND a.kind <> 'entity' AND b.kind = 'entity' AND contains({_SPACED.format('a.text')}, {_SPACED.format('b.text')})"))
 def decompose_about_edges(spark: SparkSession, d: str) -> DataFrame:
     return O.mention_edges(O.typed_nodes(_summaries(spark, d), "session_id"), ["fact", "question"])
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT DISTINCT {_SLUG.format("p_brand")} AS slug, p_type FROM part), l AS (SELECT {_SLUG.format("p_type")} AS slug, min(slug) AS hub FROM e GROUP BY 1), u AS (SELECT p_type AS surface FROM part UNION SELECT p_brand FROM part UNION SELECT 'New Thing'),
+x AS (SELECT surface, {_SLUG.format("surface")} AS slug FROM u) SELECT surface, x.slug, CASE WHEN x.slug IN (SELECT slug FROM e) THEN x.slug ELSE coalesce(hub, x.slug) END AS hub FROM x LEFT JOIN l ON l.slug = x.slug"""
+)
 def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import slug
 
@@ -108,6 +117,5 @@ SELECT label, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER
 )
 def siblings_by_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = M.vectors(spark, d)
-    first = v.where("vec_id = 0").select("embedding").first()
-    q = F.array(*(F.lit(float(x)) for x in first.embedding))
-    return C.siblings_by_vector(v, "label", "vec_id", q, "embedding", 0.1, 3).select("label", "vec_id", F.round("score", 4).alias("score"))
+    asked = v.where("vec_id = 0").select(F.col("embedding").alias("asked"))
+    return C.siblings_by_vector(v.join(F.broadcast(asked)), "label", "vec_id", F.col("asked"), "embedding", 0.1, 3).select("label", "vec_id", F.round("score", 4).alias("score"))

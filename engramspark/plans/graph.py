@@ -58,7 +58,7 @@ def contested_markers(spark: SparkSession, d: str) -> DataFrame:
     with_views(
         "v_about",
         body="""g AS (SELECT entity_id, count(*) AS degree FROM v_about GROUP BY entity_id),
-a AS (SELECT memory_id AS seed_id, v.entity_id, row_number() OVER (PARTITION BY memory_id ORDER BY (degree > 12)::INT, v.entity_id) AS anchor_rank FROM v_about v JOIN g ON g.entity_id = v.entity_id WHERE memory_id % 100 = 7),
+a AS (SELECT memory_id AS seed_id, v.entity_id, row_number() OVER (PARTITION BY memory_id ORDER BY (degree > 12)::INT, v.entity_id) AS anchor_rank FROM v_about v JOIN g ON g.entity_id = v.entity_id WHERE memory_id % 100 = 0),
 n AS (SELECT a.*, v.memory_id AS reached_id, row_number() OVER (PARTITION BY seed_id, a.entity_id ORDER BY v.memory_id) AS sibling_rank FROM a JOIN v_about v ON v.entity_id = a.entity_id WHERE anchor_rank <= 6 AND v.memory_id <> seed_id)
 SELECT seed_id, entity_id, reached_id, anchor_rank, sibling_rank FROM n WHERE sibling_rank <= 5""",
     )
@@ -66,7 +66,7 @@ SELECT seed_id, entity_id, reached_id, anchor_rank, sibling_rank FROM n WHERE si
 def neighbour_2hop(spark: SparkSession, d: str) -> DataFrame:
     """The seeds are the query set: every hundredth memory, against all edges."""
     about = M.about(spark, d)
-    seeds = about.where("memory_id % 100 = 7").select("memory_id").distinct()
+    seeds = about.where("memory_id % 100 = 0").select("memory_id").distinct()
     return G.neighbours(seeds, about)
 
 
@@ -138,13 +138,13 @@ def supersedes_depth(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_views(
         "v_supersedes",
-        body="""s AS (SELECT newer_id AS newer, older_id AS older FROM v_supersedes WHERE newer_id % 3 = 0), f AS (SELECT older AS fact, min(newer) AS superseded_by FROM s GROUP BY older),
+        body="""s AS (SELECT newer_id AS newer, older_id AS older FROM v_supersedes), f AS (SELECT older AS fact, min(newer) AS superseded_by FROM s GROUP BY older),
 dep AS (SELECT DISTINCT l_partkey AS dependent, l_orderkey AS fact FROM lineitem)
 SELECT fact, dependent, superseded_by FROM (SELECT f.fact, dependent, superseded_by, row_number() OVER (PARTITION BY f.fact ORDER BY dependent) AS k FROM dep JOIN f ON f.fact = dep.fact) WHERE k <= 20""",
     )
 )
 def grounding_ripple(spark: SparkSession, d: str) -> DataFrame:
-    s = M.supersedes(spark, d).where("newer_id % 3 = 0").select(F.col("newer_id").alias("newer"), F.col("older_id").alias("older"))
+    s = M.supersedes(spark, d).select(F.col("newer_id").alias("newer"), F.col("older_id").alias("older"))
     dep = M.table(spark, d, "lineitem").select(F.col("l_partkey").alias("dependent"), F.col("l_orderkey").alias("fact"))
     return G.ripple(s, dep)
 

@@ -22,10 +22,10 @@ def last_n_messages(spark: SparkSession, d: str) -> DataFrame:
     return S.last_messages(M.messages(spark, d), 3, 1).select("session_id", "idx", "role", "message_count")
 
 
-@query(with_views("v_messages", body="SELECT session_id, count(*) AS messages, min(idx) AS first_idx, max(idx) AS last_idx, count(*) >= 8 AS should_consolidate FROM v_messages GROUP BY session_id"))
+@query(with_views("v_messages", body="SELECT session_id, count(*) AS messages, min(idx) AS first_idx, max(idx) AS last_idx, count(*) >= 50 AS should_consolidate FROM v_messages GROUP BY session_id"))
 def session_list(spark: SparkSession, d: str) -> DataFrame:
     by = M.messages(spark, d).groupBy("session_id").agg(F.count("*").alias("messages"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
-    return by.withColumn("should_consolidate", F.col("messages") >= 8)
+    return by.withColumn("should_consolidate", F.col("messages") >= 50)
 
 
 @query(
@@ -40,22 +40,30 @@ def prefilter_candidates(spark: SparkSession, d: str) -> DataFrame:
     return S.worth_storing(M.messages(spark, d))
 
 
-@query(
-    with_views(
-        "v_messages",
-        body=rf"""SELECT session_id, idx, (CASE WHEN regexp_matches(content, '{S.DECIDE.replace("'", "''")}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)considered\b.{{0,80}}\bbut\b|why not\b|\S+ 말고|\S+ 대신') THEN 3 ELSE 0 END
+_LINES = "string_split(content, chr(10))"
+_FULL = f"list_filter({_LINES}, lambda x: trim(x) <> '')"
+_BASE = rf"""(CASE WHEN regexp_matches(content, '{S.DECIDE.replace("'", "''")}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)considered\b.{{0,80}}\bbut\b|why not\b|\S+ 말고|\S+ 대신') THEN 3 ELSE 0 END
   + CASE WHEN regexp_matches(content, '(?i)benchmark|measured|실측|p9\d|\brecall\b|\bF1\b|\d+(?:[.]\d+)?\s*(?:tokens?\b|MB\b|ms\b|s\b|x\b|%|점)') THEN 2 ELSE 0 END
   + CASE WHEN regexp_matches(content, '(?i)blocker|confirmed|critical|defect|지적|리뷰') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(content, '\b[0-9a-f]{{7,40}}\b') THEN 2 ELSE 0 END
   + least(3, CASE WHEN regexp_matches(content, '\b[0-9A-Za-z_./\\-]+[.](?:cpp|c|go|h|java|json|js|md|py|rs|toml|tsx|ts|yaml|yml)\b') THEN 1 ELSE 0 END + least(2, len(regexp_extract_all(content, '`[^`\s][^`]*`'))))
-  - CASE WHEN regexp_matches(content, '[A-Za-z0-9+/=]{{120,}}') THEN 2 ELSE 0 END)::BIGINT AS score FROM v_messages WHERE len(string_split(content, chr(10))) < 5""",
-    )
-)
+  - CASE WHEN regexp_matches(content, '[A-Za-z0-9+/=]{{120,}}') THEN 2 ELSE 0 END
+  - CASE WHEN len({_LINES}) >= 5 AND len(list_filter({_FULL}, lambda x: length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) * 1.0E0 / greatest(1, length(x)) < 0.2E0)) * 1.0E0 / len({_LINES}) > 0.8E0 THEN 2 ELSE 0 END
+  - CASE WHEN length(content) > 500 AND len({_LINES}) > 9 AND NOT regexp_matches(content, '{S.DECIDE.replace("'", "''")}') AND len({_FULL}) > 0 AND len(list_filter({_FULL}, lambda x: regexp_matches(x, '^(?:[ \t{{}}]|class |def |import )'))) * 1.0E0 / greatest(1, len({_FULL})) > 0.7E0 THEN 2 ELSE 0 END)::BIGINT"""
+
+
+@query(with_views("v_messages", body=f"SELECT session_id, idx, {_BASE} AS score FROM v_messages"))
 def salience_base(spark: SparkSession, d: str) -> DataFrame:
-    m = M.messages(spark, d).where(F.size(F.split("content", "\n")) < 5)
-    return m.select("session_id", "idx", S.base_salience(F.col("content")).alias("score"))
+    return M.messages(spark, d).select("session_id", "idx", S.base_salience(F.col("content")).alias("score"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + with_views("v_messages", body="SELECT 1").removesuffix("\nSELECT 1").removeprefix("WITH ")
+    + f""",
+b AS (SELECT session_id, idx, {_BASE} AS base, role = 'user' AND length(content) <= 80 AND regexp_matches(content, '{S.ASSENT}') AS assents, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS n FROM v_messages),
+r AS (SELECT session_id, n, idx, base AS score FROM b WHERE n = 1 UNION ALL SELECT b.session_id, b.n, b.idx, b.base + CASE WHEN assents AND r.score >= 4 THEN 1 ELSE 0 END FROM r JOIN b ON b.session_id = r.session_id AND b.n = r.n + 1)
+SELECT session_id, idx, score FROM r"""
+)
 def salience_scored(spark: SparkSession, d: str) -> DataFrame:
     return S.salience(M.messages(spark, d)).select("session_id", "idx", "score")
 

@@ -182,19 +182,23 @@ def deprecation_budget(spark: SparkSession, d: str) -> DataFrame:
     return U.budgeted(rows.where("refused IS NULL"), [F.col("base_score"), F.col("doc_id")], 0.1, rows.count()).select("doc_id", "nth")
 
 
-@query("SELECT DISTINCT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND round(a.c_acctbal / 100) = round(b.c_acctbal / 100) AND a.c_custkey < b.c_custkey")
+_FIRST = "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, round(c_acctbal / 100)) AS first FROM customer"
+
+
+@query(f"SELECT first AS a, c_custkey AS b FROM ({_FIRST}) WHERE first <> c_custkey")
 def alias_merge_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _aliases(spark, d)
 
 
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
-    """Customers that share a surface, as pairs."""
+    """Customers that share a surface, each with the first of them: a group of many gives no more pairs than members."""
+    surface = ["c_nationkey", "c_mktsegment", "s"]
     c = M.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.round(F.col("c_acctbal") / 100).alias("s"))
-    one, two = c.withColumnRenamed("c_custkey", "a"), c.withColumnRenamed("c_custkey", "b")
-    return one.join(two, ["c_nationkey", "c_mktsegment", "s"]).where("a < b").select("a", "b").distinct()
+    first = c.groupBy(*surface).agg(F.min("c_custkey").alias("a"))
+    return c.join(first, surface).where("a < c_custkey").select("a", F.col("c_custkey").alias("b"))
 
 
-@query()
+@query(f"SELECT DISTINCT coalesce(first, o_custkey) AS source, -o_orderkey AS target, 'ABOUT' AS edge_type FROM orders LEFT JOIN ({_FIRST}) ON c_custkey = o_custkey")
 def entity_merge_apply(spark: SparkSession, d: str) -> DataFrame:
     merges = U.merge_map(_aliases(spark, d))
     edges = M.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (-F.col("o_orderkey")).alias("target"), F.lit("ABOUT").alias("edge_type"))
@@ -220,7 +224,19 @@ def pii_counts(spark: SparkSession, d: str) -> DataFrame:
     return M.table(spark, d, "documents").select("doc_id", n["email"].alias("email"), n["ssn"].alias("ssn"), n["ip_address"].alias("ip_address"))
 
 
-@query()
+def _replaced(text: str, patterns: list[tuple[str, str]]) -> str:
+    """Patterns replaced one after another, as SQL."""
+    for p, by in patterns:
+        text = f"regexp_replace({text}, '{p.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return text
+
+
+_NAMED = [(p, f"[{kind}]") for kind, p in P.PERSONAL.items()]
+#: RE2 has no lookahead: a run of twenty within the key says the same.
+_NO_LOOKAHEAD = {k: p.replace("(?=[\\w-]*[A-Za-z0-9]{20})[\\w-]{20,}", "[\\w-]*[A-Za-z0-9]{20}[\\w-]*") for k, p in P.CREDENTIALS.items()}
+
+
+@query(f"SELECT doc_id, {_replaced('text', _NAMED)} AS text FROM documents")
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
     return M.table(spark, d, "documents").select("doc_id", P.anonymized(F.col("text")).alias("text"))
 
@@ -245,7 +261,10 @@ def injection_scan(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("id", F.array_join(P.scan(F.col("text")), ", ").alias("reasons"))
 
 
-@query()
+_SCREENED = _replaced(_replaced("content", [(p, "[redacted]") for p in (P.KEY_BLOCK, *_NO_LOOKAHEAD.values())]), _NAMED)
+
+
+@query(with_views("v_messages", body=f"SELECT session_id, idx, {_SCREENED} AS content FROM v_messages"))
 def screened_for_model(spark: SparkSession, d: str) -> DataFrame:
     return M.messages(spark, d).select("session_id", "idx", P.screened(F.col("content")).alias("content"))
 
@@ -258,7 +277,7 @@ def predicate_resolve(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("predicate", T.relation(F.col("predicate")).relation.alias("relation"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x}')" for k, v in sorted(RELATIONS.items()) for x in sorted(v)) + ") v(relation, spelling)")
 def relation_registry(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, s) for k, v in sorted(RELATIONS.items()) for s in sorted(v)], "relation string, spelling string")
 

@@ -9,9 +9,12 @@ from ..functions import predicates as Q
 from ..functions.text import edge_name
 from ..operators import decisions as D
 from ..operators import writes as W
+from ..schemas import KIND_PRIORITY, RELATIONS, WALKED_EDGES
 from ..sources import graph as A
 from ..sources import memory as M
+from ..sources.memory import with_views
 from .registry import jaccard_sql, query, tokens_sql
+from .upkeep import _GUARD, _guarded
 
 
 @query(
@@ -71,27 +74,38 @@ def supersede_pass(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_partkey AS decision, l_suppkey AS anchor, bool_or(coalesce(40 BETWEEN l_linenumber * 10 - 20 AND l_linenumber * 10 + 25, false)) AS line_hit FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1, 2"""
+    """SELECT l_partkey AS decision, l_suppkey AS anchor, bool_or(coalesce(40 BETWEEN l_linenumber * 10 - 20 AND l_linenumber * 10 + 25, false)) AS line_hit FROM lineitem GROUP BY 1, 2"""
 )
 def code_anchor_leg(spark: SparkSession, d: str) -> DataFrame:
     li = M.table(spark, d, "lineitem")
     edges = li.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.lit("IMPLEMENTED_IN").alias("edge_type"), (F.col("l_linenumber") * 10).cast("string").alias("line_start"), (F.col("l_linenumber") * 10 + 5).cast("string").alias("line_end"), F.lit("c").alias("commit_hash"))
-    anchors = li.where("l_suppkey % 3 = 0").select(F.col("l_suppkey").alias("anchor"), F.lit(40).alias("line")).distinct()
+    anchors = li.select(F.col("l_suppkey").alias("anchor"), F.lit(40).alias("line")).distinct()
     return D.anchored(anchors, edges).select("decision", "anchor", "line_hit")
 
 
-@query("SELECT l_partkey AS decision, max((l_orderkey * 31 % 1000) / 1000.0E0) AS score FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_partkey")
+@query("SELECT l_partkey AS decision, max((l_orderkey * 31 % 1000) / 1000.0E0) AS score FROM lineitem GROUP BY l_partkey")
 def evidence_bridge_leg(spark: SparkSession, d: str) -> DataFrame:
     li = M.table(spark, d, "lineitem")
     edges = li.select(F.col("l_partkey").alias("source"), F.col("l_orderkey").alias("target"), F.lit("MOTIVATED_BY").alias("edge_type")).distinct()
-    hits = li.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("evidence"), (F.col("l_orderkey") * 31 % 1000 / 1000.0).alias("score")).distinct()
+    hits = li.select(F.col("l_orderkey").alias("evidence"), (F.col("l_orderkey") * 31 % 1000 / 1000.0).alias("score")).distinct()
     return D.evidence_bridge(hits, edges)
 
 
-@query("SELECT conv_id, turn, contains(text, substr(text, 5, 30)) AS verbatim FROM conversations")
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+')"
+
+
+@query(
+    rf"""WITH n AS (SELECT conv_id, turn, text AS said, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations), q AS (SELECT conv_id, turn, source, CASE WHEN turn % 3 = 0 THEN upper(substr(source, 5, 30)) ELSE substr(said, 1, 40) || ' ' || substr(source, 1, 60) END AS s FROM n WHERE source IS NOT NULL),
+f AS (SELECT *, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) AS flat, lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS whole, list_distinct({_WORDS.format("s")}) AS w, list_distinct({_WORDS.format("source")}) AS v FROM q)
+SELECT conv_id, turn, contains(whole, flat) OR CASE WHEN len(w) > 0 THEN len(list_intersect(w, v)) * 1.0E0 / len(w) ELSE 0E0 END >= 0.6E0 AS verbatim FROM f"""
+)
 def verbatim_check(spark: SparkSession, d: str) -> DataFrame:
-    c = M.table(spark, d, "conversations")
-    return c.select("conv_id", "turn", D.verbatim(F.upper(F.substring("text", 5, 30)), F.col("text")).alias("verbatim"))
+    """Statements against the next message: a piece of it in capitals, or the beginnings of both."""
+    from pyspark.sql import Window
+
+    c = M.table(spark, d, "conversations").withColumn("source", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("source is not null")
+    said = F.when(F.col("turn") % 3 == 0, F.upper(F.substring("source", 5, 30))).otherwise(F.concat(F.substring("text", 1, 40), F.lit(" "), F.substring("source", 1, 60)))
+    return c.select("conv_id", "turn", D.verbatim(said, F.col("source")).alias("verbatim"))
 
 
 @query("SELECT user_id, 'P/' || CASE user_id % 4 WHEN 0 THEN 'work/t' || user_id WHEN 1 THEN 'groups/default' ELSE 'personal' END AS space, count(*) AS n FROM events GROUP BY user_id")
@@ -121,19 +135,26 @@ def first_source_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("session_id").alias("order_key")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _rows_sql(rows: list[tuple[str, ...]], names: str) -> str:
+    """Constant rows as SQL."""
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) v({names})"
+
+
+@query(_rows_sql([*(("kind", k, str(i)) for i, k in enumerate((*KIND_PRIORITY, "entity", "action", "question"))), *(("edge", e, str(i)) for i, e in enumerate(WALKED_EDGES)), *(("relation", r, ",".join(sorted(x))) for r, x in RELATIONS.items())], "part, name, detail"))
 def ontology_spec(spark: SparkSession, d: str) -> DataFrame:
     return W.ontology_spec(spark)
 
 
-@query()
+@query(with_views("v_revisions", body=f"{_GUARD}, o AS (SELECT coalesce(refused, 'applied') AS outcome, count(*) AS n FROM g GROUP BY 1) SELECT sum(n)::BIGINT AS proposals, '# Run report' || chr(10) || chr(10) || string_agg('- ' || outcome || ': ' || n, chr(10) ORDER BY outcome) AS markdown FROM o"))
 def run_report(spark: SparkSession, d: str) -> DataFrame:
-    from .upkeep import _guarded
-
     return W.run_report(_guarded(spark, d))
 
 
-@query()
+@query(
+    r"""WITH e AS (SELECT DISTINCT regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') AS slug, lower(split_part(p_name, ' ', 1)) AS name FROM part), s AS (SELECT DISTINCT p_partkey AS id, trim(regexp_replace(lower(p_brand), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM part WHERE p_brand IS NOT NULL)
+SELECT id, slug, 'ABOUT' AS edge_type FROM (SELECT id, slug FROM s WHERE slug IN (SELECT slug FROM e) UNION SELECT p_partkey, slug FROM part JOIN e ON name <> '' AND list_contains(regexp_extract_all(lower(p_name), '[\p{L}\p{N}\p{M}\p{Pc}]+'), name))"""
+)
 def symbol_bridges(spark: SparkSession, d: str) -> DataFrame:
     p = M.table(spark, d, "part")
     decisions = p.select(F.col("p_partkey").alias("id"), F.array("p_brand").alias("symbols"), F.col("p_name").alias("text"))
