@@ -6,18 +6,26 @@ sentences that licences are made of. The identifiers found, in text order, are t
 a sequence of identifiers that must follow each other with at most ``gap`` other known sentences between, and what a rule
 has consumed no later rule sees. Longer rules come first, so the three-clause form is not taken for the two-clause one.
 
-Edge cases: null and empty texts have no licence; whole texts are read, of any length; repeated rows give equal rows; an
+Before these come whole licences: ``licence_table`` holds the hashes of the normalised sentences of well-known licences in
+their order, made by ``sentence_hashes`` from their public texts. The rule of such a licence is its whole sequence, of which
+``share`` must follow each other in a text; it consumes what lies between. A text that holds a whole licence twice is told so
+once.
+
+Edge cases: null and empty texts have no licence; whole texts and sentences are read, of any length; repeated rows give equal rows; an
 empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import by_batch, bytes_of
+from .licence_table import WHOLE
 
 _CUT = re.compile(r"(?<=[.;!?])[\x20\t\r\n]+|(?<=:)[\x20\t\r]*\n\s*|\n[\x20\t\r]*\n\s*")
 _LINE = re.compile(r"\n")
@@ -121,11 +129,31 @@ def normalise(sentence: str) -> str:
     return re.sub(r" ([,;:.)])", r"\1", re.sub(r"\( ", "(", s))
 
 
+#: Sentences of whole licences that are shorter say too little.
+LEAST_WHOLE = 25
+
+
+def _hash(normal: str) -> str:
+    return xxhash.xxh64_hexdigest(normal.encode())[:12]
+
+
+def sentence_hashes(text: str) -> list[str]:
+    """The hashes of a licence's sentences in order, first occurrences."""
+    normal = (normalise(text[a:b]) for a, b in _pieces(text, _CUT))
+    return list(dict.fromkeys(_hash(s) for s in normal if len(s) >= LEAST_WHOLE and not any(p.fullmatch(s) for p in _COMPILED.values())))
+
+
+def _sequences() -> dict[str, dict[str, int]]:
+    return {k: {v[i : i + 12]: i // 12 for i in range(0, len(v), 12)} for k, v in WHOLE.items()}
+
+
 def sentence_id(sentence: str) -> tuple[str, dict[str, str]] | None:
     """The identifier of a known sentence and what its slots hold."""
     s = normalise(sentence)
-    if not 3 <= len(s) <= 2000:
+    if len(s) < 3:
         return None
+    if len(s) >= LEAST_WHOLE and (h := _hash(s)) in _OF_WHOLE:
+        return f"#{h}", {}
     for k, p in _COMPILED.items():
         if m := p.fullmatch(s):
             return k, {a: b.strip() for a, b in m.groupdict().items() if b}
@@ -140,6 +168,49 @@ def _pieces(text: str, cut: re.Pattern, at: int = 0, end: int | None = None):
     yield at, end
 
 
+_WHOLE = _sequences()
+_OF_WHOLE = frozenset(h for v in _WHOLE.values() for h in v)
+
+
+def _increasing(places: list[int]) -> list[int]:
+    """Indices of a longest strictly increasing subsequence."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(places)
+    for i, x in enumerate(places):
+        k = bisect_left(tails, x)
+        tails[k : k + 1] = [x]
+        at[k : k + 1] = [i]
+        before[i] = at[k - 1] if k else -1
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def whole_licences(known: list[Known], used: list[bool], share: float = 0.6) -> list[Found]:
+    """The whole licences among known sentences, those with most sentences first; what lies between a licence's first and last is used up."""
+    out: list[Found] = []
+    left = {k for k, v in _WHOLE.items() if any(x.sentence[1:] in v for x in known)}
+    while left:
+        best: tuple[int, str, list[int]] = (0, "", [])
+        for name in sorted(left):
+            v = _WHOLE[name]
+            at = [i for i, x in enumerate(known) if not used[i] and x.sentence[1:] in v]
+            hit = [at[i] for i in _increasing([v[known[i].sentence[1:]] for i in at])]
+            if len(hit) >= share * len(v) and (len(hit), len(hit) / len(v)) > (best[0], best[0] / len(_WHOLE[best[1]]) if best[1] else 0):
+                best = (len(hit), name, hit)
+        if not best[0]:
+            break
+        hit = best[2]
+        for i in range(hit[0], hit[-1] + 1):
+            used[i] = True
+        left.discard(best[1])
+        out.append(Found(best[1], known[hit[0]].start, known[hit[-1]].end, ("whole text",)))
+    return out
+
+
 def known_sentences(text: str) -> list[Known]:
     """The known sentences of a text in order: sentences as punctuation parts them, and lines, where a sentence holds none."""
     out = []
@@ -156,10 +227,11 @@ def known_sentences(text: str) -> list[Known]:
     return out
 
 
-def licences(text: str, rules: tuple[Rule, ...] = RULES, gap: int = 2) -> list[Found]:
+def licences(text: str, rules: tuple[Rule, ...] = RULES, gap: int = 2, share: float = 0.6) -> list[Found]:
     """The licences of a text, in order of where they begin."""
     known = known_sentences(text)
-    used, out = [False] * len(known), []
+    used = [False] * len(known)
+    out = whole_licences(known, used, share)
     for r in rules:
         i = 0
         while i < len(known):

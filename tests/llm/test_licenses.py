@@ -1,3 +1,7 @@
+import itertools
+import os
+import random
+
 import pytest
 
 from engramspark.llm import licenses as L
@@ -139,3 +143,44 @@ def test_rule_alone(rule):
 )
 def test_notes_without_the_word_licence(text, want):
     assert [f.licence for f in L.licences(text)] == [want]
+
+
+COMMON = "/usr/share/common-licenses/"
+WHOLE = {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-2.0": "LGPL-2", "LGPL-3.0": "LGPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GFDL-1.2": "GFDL-1.2"}
+
+
+@pytest.mark.skipif(not all(os.path.exists(COMMON + f) for f in WHOLE.values()), reason="no public licence texts on this machine")
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_licences(name):
+    """A whole licence is told apart from its relatives, wherever it stands, however its lines break; a third of it is not it."""
+    with open(COMMON + WHOLE[name], errors="replace") as f:
+        text = f.read()
+    assert "".join(L.sentence_hashes(text)) == L.WHOLE[name]
+    told = [f.licence for f in L.licences("Some prose. More of it.\n\n" + text + "\n\nReleased under the MIT License.\n")]
+    assert told == [name, "MIT"]
+    paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+    assert [f.licence for f in L.licences("\n\n".join(paragraphs).upper())] == [name]
+    assert all(f.sentences != ("whole text",) for f in L.licences("\n\n".join(paragraphs[: len(paragraphs) // 3])))
+
+
+@pytest.mark.skipif(not os.path.exists(COMMON + "GPL-2"), reason="no public licence texts on this machine")
+def test_two_whole_licences():
+    texts = [open(COMMON + f, errors="replace").read() for f in ("MPL-2.0", "GPL-2")]
+    assert [f.licence for f in L.licences("\n\n".join(texts))] == ["MPL-2.0", "GPL-2.0"]
+
+
+def test_increasing():
+    for s in range(100):
+        r = random.Random(s)
+        x = [r.randrange(8) for _ in range(r.randint(0, 9))]
+        got = L._increasing(x)
+        assert all(a < b and x[a] < x[b] for a, b in zip(got, got[1:]))
+        best = max((len(c) for n in range(len(x) + 1) for c in itertools.combinations(x, n) if all(a < b for a, b in zip(c, c[1:]))), default=0)
+        assert len(got) == best
+
+
+def test_long_sentences():
+    """A sentence of any length is looked up."""
+    long = "This software is provided by " + "x" * 190 + " as is and any express or implied warranties" + " and so on" * 5000 + "."
+    assert [k.sentence for k in L.known_sentences(long)] == ["bsd-warranty"]
+    assert L.licences("word " * 400_000 + "\nReleased under the MIT License.")[0].licence == "MIT"
