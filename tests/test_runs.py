@@ -217,3 +217,34 @@ def test_store_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         store.folder(Session())
+
+
+def _memory(spark):
+    from engramspark.api import Memory
+    from engramspark.schemas import TABLES
+
+    rows = [(f"k{i}", f"i{i}", 1, None, False, False, True, [], {"facts": f"f{i}"} if i == 1 else {}, f"T{i}", f"apple tree number {i} stands", "", "fact", "official" if i == 0 else None, None, None, None, None, None, False, None) for i in range(4)]
+    m = [("p", "s", 0, "user", "plant it, mail x@mail.example", None), ("p", "s", 1, "assistant", "done", None)]
+    return Memory(spark, spark.createDataFrame(rows, TABLES["revisions"]), None, spark.createDataFrame(m, TABLES["messages"]), embed=lambda texts: [[len(t), 1.0] for t in texts], summarise=lambda texts: [t[-40:] for t in texts])
+
+
+def test_engage(spark):
+    q = spark.createDataFrame([(1, "apple tree"), (2, "nothing here")], "query_id int, query string")
+    got = {r.query_id: r for r in _memory(spark).engage(q, limit=2).collect()}
+    assert got[1].results == 2 and got[1].krefs[0] == "k0" and got[1].context.startswith("[official] T0: apple tree number 0 stands") and got[1].tokens == len(got[1].context) // 4
+    assert (got[2].results, got[2].context, got[2].krefs) == (0, "", [])
+
+
+def test_adapters(spark):
+    m = _memory(spark)
+    assert {len(r.embedding) for r in m.embeddings().collect()} == {2}
+    m.embed = lambda texts: [[1.0]]
+    assert all(r.embedding is None for r in m.embeddings().repartition(1).collect())
+    (r,) = m.consolidate().collect()
+    assert "[email]" in r.content and "mail.example" not in r.summary and "done" in r.summary
+    m.summarise = lambda texts: 1 / 0
+    assert m.consolidate().first().summary == "done"
+    tables, report = m.maintain([])
+    assert set(tables) == {"revisions", "messages"} and report.count() == 0
+    both, due = m.answer(spark.createDataFrame([("s", "ok")], "session_id string, content string"))
+    assert both.count() == 3 and due.count() == 1
