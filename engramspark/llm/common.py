@@ -15,9 +15,11 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset (tests, one machine)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset, on one machine only, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="engram-")
         spark.conf.set("spark.checkpoint.dir", found)
         _written.append((spark, found))

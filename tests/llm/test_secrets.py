@@ -92,3 +92,59 @@ def test_keys_of_one_case():
 
 def test_dates_are_no_keys():
     assert [w for w in ("2024-01-02T10:15:00Z", "20240102T101500Z", "2024-01-02T10-15-00", "x86_64-linux-gnu", "RFC2616-sec14") if S.random_spans(w, ENCODE)] == []
+
+
+def brute_random(text, count):
+    """The spans of the token-efficiency test, by hand: characters one by one, tokens by ``tokenizers``."""
+    import string
+
+    chars = set(string.ascii_letters + string.digits + "+/_=-")
+    out, at = [], 0
+    while at < len(text):
+        if text[at] not in chars:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        a, b = at, end
+        while a < b and text[a] in "=-_/+":
+            a += 1
+        while b > a and text[b - 1] in "=-_/+":
+            b -= 1
+        run = text[a:b]
+        if end - at >= 12 and len(run) >= 12:
+            if run.isalpha() and (run.islower() or run.isupper()):
+                least = 1.95 if len(run) >= 20 else 1.6
+                hit = len(run) / count(run) < least and run.lower() not in string.ascii_lowercase * 2
+            else:
+                kinds = [any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run)]
+                mixed = kinds[0] and (kinds[1] or kinds[2]) or kinds[1] and kinds[2] and sum(c.isupper() for c in run[1:]) >= 3
+                hit = mixed and not S.is_identifier(run) and len(run) / count(run) < 2.2
+            if hit:
+                out.append((a, b))
+        at = end
+    return out
+
+
+def test_method_spans_against_brute_force(spark, sf):
+    import random
+    import string
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda run: len(t.encode(run, add_special_tokens=False).ids)
+    r = random.Random(8)
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    kinds = [string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_uppercase, string.digits + "abcdef", string.ascii_letters + "+/"]
+    made = [f"see {key(r.randint(8, 50), r.choice(kinds))}{r.choice(['', '=', '==', '-'])}, or /usr/lib/{key(5, kinds[1])}-{r.randint(1, 99)} and {r.choice(['2024-01-02T03:04:05Z', 'someLongCamelCaseName', 'snake_case_name_of_things', 'antidisestablishmentarianism'])}." for _ in range(400)]
+    texts = made + [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    encode = S._encoder("byte_bpe_50k.tiktoken")
+    hits = 0
+    for text in texts:
+        want = brute_random(text, count)
+        assert [(s.start, s.end) for s in S.random_spans(text, encode)] == want, text
+        hits += len(want)
+    assert hits > 100
