@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run``
 writes what a stage returns as Parquet in the shared folder and reads it again as the next one's documents.
+
+Edge cases: a null text is empty and has too few words, so the first stage rejects it; given to the other stages, it is a
+text like any other (null stays null), is no secret, is taken no words of by the mix, and is packed as its end token alone.
+Null doc_ids, sources and other columns are kept, a null source being one source, the last. Texts of any length are read
+whole. Of repeated rows near-dedup keeps one, as of all copies; ties go to the smallest doc_id, then to the smallest hash of
+the text. An empty table gives an empty result at every stage. Columns beyond those of documents are carried along, whatever
+their names, up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id."""
+    """One document of each group of near copies stays, that of the smallest doc_id: of texts whose fingerprints link, and of texts with most segments in common."""
     return simhash.without_copies(docs)
 
 

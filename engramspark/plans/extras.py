@@ -117,4 +117,5 @@ SELECT label, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER
 )
 def siblings_by_embedding(spark: SparkSession, d: str) -> DataFrame:
     v = M.vectors(spark, d)
-    return C.siblings_by_vector(v, "label", "vec_id", v.where("vec_id = 0").select("embedding").scalar(), "embedding", 0.1, 3).select("label", "vec_id", F.round("score", 4).alias("score"))
+    rows = v.withColumn("asked", v.where("vec_id = 0").select("embedding").scalar())
+    return C.siblings_by_vector(rows, "label", "vec_id", F.col("asked"), "embedding", 0.1, 3).select("label", "vec_id", F.round("score", 4).alias("score"))

@@ -208,7 +208,8 @@ def siblings_counted(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 1) SELECT vec_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 4) AS score FROM e, q")
 def two_pass_scores(spark: SparkSession, d: str) -> DataFrame:
     v = M.vectors(spark, d)
-    return C.two_pass(v, v.where("vec_id = 1").select("embedding").scalar(), "embedding").select("vec_id", F.round("score", 4).alias("score"))
+    rows = v.withColumn("asked", v.where("vec_id = 1").select("embedding").scalar())
+    return C.two_pass(rows, F.col("asked"), "embedding").select("vec_id", F.round("score", 4).alias("score"))
 
 
 @query("SELECT DISTINCT 'd' || o_orderkey AS source, 'f' || (o_custkey % 9) AS target, 'DEPENDS_ON' AS edge_type FROM orders WHERE o_custkey % 9 < 7")

@@ -238,8 +238,8 @@ def test_engage(spark):
 def test_adapters(spark):
     m = _memory(spark)
     assert {len(r.embedding) for r in m.embeddings().collect()} == {2}
-    m.embed = lambda texts: [[1.0]]
-    assert all(r.embedding is None for r in m.embeddings().repartition(1).collect())
+    m.embed, m.revisions = lambda texts: [[1.0]], m.revisions.coalesce(1)
+    assert all(r.embedding is None for r in m.embeddings().collect())
     (r,) = m.consolidate().collect()
     assert "[email]" in r.content and "mail.example" not in r.summary and "done" in r.summary
     m.summarise = lambda texts: 1 / 0
