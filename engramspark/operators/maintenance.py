@@ -27,11 +27,14 @@ def duplicate_candidates(rows: DataFrame, ident: str, text: str, threshold: floa
 
 
 def keepers(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Adds keeper and loser: the one with more edges (weights: id, edges) stays, the smaller id among equals."""
-    w = weights.select("id", "edges")
-    both = pairs.join(w.withColumnsRenamed({"id": "a", "edges": "ea"}), "a", "left").join(w.withColumnsRenamed({"id": "b", "edges": "eb"}), "b", "left")
-    first = F.coalesce("ea", F.lit(0)) >= F.coalesce("eb", F.lit(0))
-    return both.withColumns({"keeper": F.when(first, F.col("a")).otherwise(F.col("b")), "loser": F.when(first, F.col("b")).otherwise(F.col("a"))}).drop("ea", "eb")
+    """Adds keeper and loser: the one of the higher grade stays (weights: id, edges, and grade for decisions), then the one with more edges, then the smaller id."""
+    names = [c for c in ("grade", "edges") if c in weights.columns]
+    rank = F.struct(*(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names)).alias("r")
+    w = weights.select("id", rank)
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
+    both = pairs.join(w.withColumnsRenamed({"id": "a", "r": "ra"}), "a", "left").join(w.withColumnsRenamed({"id": "b", "r": "rb"}), "b", "left")
+    first = F.coalesce("ra", zero) >= F.coalesce("rb", zero)
+    return both.withColumns({"keeper": F.when(first, F.col("a")).otherwise(F.col("b")), "loser": F.when(first, F.col("b")).otherwise(F.col("a"))}).drop("ra", "rb")
 
 
 def budgeted(rows: DataFrame, order: Sequence[Column], ratio: float, total: int | None = None) -> DataFrame:

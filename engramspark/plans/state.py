@@ -410,3 +410,18 @@ def maintenance_passes() -> list[U.Pass]:
         raise ValueError("no decisions were loaded")
 
     return [U.Pass("merge", merge, ("aliases",)), U.Pass("dedup facts", lambda t: {}, ("facts",)), U.Pass("regrade", grade), U.Pass("prune", prune)]
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL ELSE '{"title": "' || event_type || '", "events": ["a}", " ", "b"], "knowledge": {"facts": ["' || event_id || '"]}}' END AS json, CASE WHEN event_id % 6 <> 5 THEN event_type END AS title, CASE WHEN event_id % 6 <> 5 THEN 'a}|b|' || event_id END AS lists FROM events"""
+)
+def replies_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries as models send them: bare, in code fences, within prose, and broken."""
+    from ..functions.replies import json_in, summary_fields
+
+    json = F.concat(F.lit('{"title": "'), F.col("event_type"), F.lit('", "events": ["a}", " ", "b"], "knowledge": {"facts": ["'), F.col("event_id").cast("string"), F.lit('"]}}'))
+    m, fence = F.col("event_id") % 6, F.lit("```")
+    reply = F.when(m == 0, json).when(m == 1, F.concat(fence, F.lit("json\n"), json, F.lit("\n"), fence)).when(m == 2, F.concat(fence, F.lit("\n"), json, fence)).when(m == 3, F.concat(F.lit("Here it is: "), json, F.lit(" {end}"))).when(m == 4, F.concat(F.lit("\n "), json, F.lit(" "))).otherwise(F.concat(F.lit("Sorry: "), F.substring(json, 1, 30)))
+    found = M.table(spark, d, "events").select("event_id", json_in(reply).alias("json"))
+    s = summary_fields(F.col("json"))
+    return found.select("event_id", "json", s.title.alias("title"), F.when(F.col("json").isNotNull(), F.concat_ws("|", s.events, s.knowledge.facts)).alias("lists"))
