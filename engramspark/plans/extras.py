@@ -9,6 +9,7 @@ from ..operators import context as C
 from ..operators import ontology as O
 from ..operators import search as S
 from ..operators.ranking import top_k
+from ..schemas import STOPWORDS
 from ..sources import memory as M
 from ..sources.memory import with_views
 from .registry import query
@@ -16,7 +17,17 @@ from .registry import query
 _ASKED = [(1, "thanes reon onnt"), (2, "der chen schen"), (3, "que les eau"), (4, "osar cion boado")]
 
 
-@query()
+_STOP = ", ".join(f"'{x}'" for x in STOPWORDS)
+_KEYS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id AS id, source AS space, {_KEYS.format("text")} AS w FROM documents), g AS (SELECT space, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY space),
+q AS (SELECT query_id, unnest(list_distinct({_KEYS.format("query")})) AS token FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _ASKED)}) v(query_id, query)),
+h AS (SELECT space, id, length, token, count(*) AS tf FROM (SELECT space, id, len(w) AS length, unnest(w) AS token FROM w) WHERE token IN (SELECT token FROM q) GROUP BY ALL), f AS (SELECT space, token, count(*) AS df FROM h GROUP BY ALL),
+s AS (SELECT query_id, h.space, id, sum(ln(1 + (n - df + 0.5E0) / (df + 0.5E0)) * tf * 2.2E0 / (tf + 1.2E0 * (0.25E0 + 0.75E0 * length / mean))) AS score FROM h JOIN f ON f.space = h.space AND f.token = h.token JOIN g ON g.space = h.space JOIN q ON q.token = h.token GROUP BY ALL)
+SELECT query_id, space, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 10"""
+)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: the limit is the feature."""
     queries = spark.createDataFrame(_ASKED, "query_id int, query string")

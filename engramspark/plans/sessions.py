@@ -94,7 +94,7 @@ def conversation_markdown(spark: SparkSession, d: str) -> DataFrame:
     return S.markdown(M.messages(spark, d))
 
 
-@query()
+@query(with_views("v_messages", body="SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS idx, role, NULL::VARCHAR AS ts, trim(content) AS content FROM v_messages"))
 def markdown_round_trip(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.transcripts import parse_markdown
 

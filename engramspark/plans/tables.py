@@ -271,17 +271,20 @@ def diff_lines_shown(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id AS finding, doc_id % 5 AS s, text, 1700000000 + (doc_id % 40) * 86400 AS sec, {tokens_sql("text")} AS w FROM documents), b AS (SELECT f.finding, g.finding AS target, f.sec AS a, g.sec AS t, {jaccard_sql("f.w", "g.w")} AS lex FROM f JOIN f g ON g.finding = f.finding + 1 AND g.s <> f.s AND f.finding % 6 <> 0),
+    f"""WITH f AS (SELECT doc_id AS finding, doc_id % 5 AS s, text, 1700000000 + (doc_id % 40) * 86400 AS sec, {tokens_sql("text")} AS w FROM documents), h AS (SELECT doc_id AS id, {tokens_sql("substr(text, 1, length(text) // 3 + doc_id % 50)")} AS v FROM documents),
+b AS (SELECT f.finding, g.finding AS target, f.sec AS a, g.sec AS t, {jaccard_sql("f.w", "v")} AS lex FROM f JOIN h ON id = f.finding JOIN f g ON g.finding = f.finding + 1 AND g.s <> f.s AND f.finding % 6 <> 0),
 t AS (SELECT finding, target, 2 AS tier, lex, t FROM b WHERE lex >= 0.2E0 AND (finding % 2 = 0 OR lex >= 0.5E0) AND abs(a - t) <= 14 * 86400)
 SELECT finding, target, tier, round(lex, 6) AS lex FROM t"""
 )
 def correlated_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's candidate by file is the next one; those of even ids share a symbol."""
+    """Each document's candidate by file is the next one, told by the document's own first third; those of even ids share a symbol."""
     i = F.col("doc_id")
     at = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + (c % 40) * 86_400)
     docs = M.table(spark, d, "documents")
     found = docs.where("doc_id % 6 <> 0").select(i.alias("finding"), (i % 5).alias("session"), "text", at(i).alias("at"), F.array(F.when(i % 2 == 0, "s").otherwise("o")).alias("symbols"))
-    targets = docs.select((i - 1).alias("finding"), i.alias("target"), (i % 5).alias("target_session"), F.col("text").alias("target_text"), at(i).alias("target_at"), F.array(F.lit("s")).alias("target_symbols"), F.lit(False).alias("deprecated"))
+    third = F.substring(F.col("text"), F.lit(1), (F.floor(F.length("text") / 3) + i % 50).cast("int"))
+    told = docs.select(i.alias("finding"), third.alias("target_text"))
+    targets = docs.select((i - 1).alias("finding"), i.alias("target"), (i % 5).alias("target_session"), at(i).alias("target_at"), F.array(F.lit("s")).alias("target_symbols"), F.lit(False).alias("deprecated")).join(told, "finding")
     return X.correlated_targets(found, targets.limit(0), targets)
 
 
