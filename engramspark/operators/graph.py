@@ -87,8 +87,9 @@ def fact_leg(hits: DataFrame, base: DataFrame, seen: DataFrame, scope: Sequence[
 
 def contested(rows: DataFrame, disputes: DataFrame, ident: str, config: Config = DEFAULT) -> DataFrame:
     """Adds ``contested_by``: at most three disputing memories, the smallest, from disputes (disputing, disputed, basis) whose basis counts."""
-    counted = disputes.where(F.col("basis").isin(*DISPUTE_BASES))
-    by = counted.groupBy(F.col("disputed").alias(ident)).agg(F.slice(F.array_sort(F.collect_set("disputing")), 1, config.contested).alias("contested_by"))
+    counted = disputes.where(F.col("basis").isin(*DISPUTE_BASES)).select(F.col("disputed").alias(ident), "disputing").distinct()
+    least = top_k(counted, [ident], [F.col("disputing")], config.contested)  # a row that thousands dispute is cut before it is gathered
+    by = least.groupBy(ident).agg(F.array_sort(F.collect_list("disputing")).alias("contested_by"))
     return rows.join(by, ident, "left")
 
 
