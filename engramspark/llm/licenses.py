@@ -30,7 +30,8 @@ from .licence_table import WHOLE
 _CUT = re.compile(r"(?<=[.;!?])[\x20\t\r\n]+|(?<=:)[\x20\t\r]*\n\s*|\n[\x20\t\r]*\n\s*")
 _LINE = re.compile(r"\n")
 _EDGE = " \t\r\n\v\f.,;:!?\"'()[]{}<>*#/-|&$%~=_`"
-_SPELL = ((re.compile(r"\blicen[cs](e|es|ed|ing|ee|or)\b"), r"licens\1"), (re.compile(r"\bsub-?licens"), "sublicens"), (re.compile(r"[\"'“”‘’`*#|]|//+"), " "))
+_LICENCE, _SUB = re.compile(r"\blicen[cs](e|es|ed|ing|ee|or)\b"), re.compile(r"\bsub-?licens")
+_MARKS, _BEFORE = re.compile(r"[\"'“”‘’`*#|]|//+"), re.compile(r" ([,;:.)])")
 
 _V = r"(?:v|ver|version)?\.? ?(?P<v>\d+(?:\.\d+)*)"
 #: identifier -> pattern that a whole normalised sentence must match
@@ -68,6 +69,8 @@ SENTENCES: dict[str, str] = {
     "all-rights": r"(?:copyright .{0,120}?)?all rights reserved",
 }
 _COMPILED = {k: re.compile(v) for k, v in SENTENCES.items()}
+#: Matches what any of them does, in one go.
+_ANY = re.compile("|".join(f"(?:{re.sub('[?]P<[a-z]+>', '?:', v)})" for v in SENTENCES.values()))
 
 
 class Rule(NamedTuple):
@@ -123,10 +126,10 @@ class Found(NamedTuple):
 
 def normalise(sentence: str) -> str:
     s = sentence.lower()
-    for p, by in _SPELL:
-        s = p.sub(by, s)
-    s = " ".join(s.split()).strip(_EDGE)
-    return re.sub(r" ([,;:.)])", r"\1", re.sub(r"\( ", "(", s))
+    if "licen" in s:
+        s = _SUB.sub("sublicens", _LICENCE.sub(r"licens\1", s))
+    s = " ".join(_MARKS.sub(" ", s).split()).strip(_EDGE)
+    return _BEFORE.sub(r"\1", s.replace("( ", "("))
 
 
 #: Sentences of whole licences that are shorter say too little.
@@ -154,6 +157,8 @@ def sentence_id(sentence: str) -> tuple[str, dict[str, str]] | None:
         return None
     if len(s) >= LEAST_WHOLE and (h := _hash(s)) in _OF_WHOLE:
         return f"#{h}", {}
+    if not _ANY.fullmatch(s):
+        return None
     for k, p in _COMPILED.items():
         if m := p.fullmatch(s):
             return k, {a: b.strip() for a, b in m.groupdict().items() if b}
