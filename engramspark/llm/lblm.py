@@ -17,8 +17,9 @@ about the square root of the vocabulary.
 
 What is gathered from the corpus grows with it: the exact count of every token over all training documents, and the
 vocabulary up to ``words``. Counts of at most ``dictionary`` frequent words are broadcast, none longer than 256 bytes; all
-other tokens find theirs by a join. Small corpora are gone over several times, until some ``enough`` tokens were seen or
-``passes`` are done, in smaller minibatches with more noise.
+other tokens find theirs by a join. Noise and minibatches are the same for every corpus. Small corpora are gone over
+``enough`` tokens' worth of times, ``passes`` at most and once at least; times are no whole number (a round goes over a wider
+share of the documents), so the amount of training follows the size without a jump.
 
 Edge cases: a null or empty text is its end alone; a null doc_id counts as training; without training documents all
 counts are 0; repeated rows are documents of their own; an empty table gives an empty result; columns other than
@@ -44,9 +45,7 @@ END = b"\n"  # no word has white space
 FOLDS, HELD = 7, 2
 RESTS = 256
 WORDS, LEAST, CONTEXT, DIM = 16_384, 3, 2, 31
-NOISE, CLASS_NOISE, BATCH = 48, 12, 2048
-#: Noise and minibatch for corpora that are gone over again.
-MORE_NOISE, SMALL_BATCH = 128, 1024
+NOISE, CLASS_NOISE, BATCH = 64, 12, 512
 #: Shares of the training documents that the rounds go over: parameters are averaged early while they change fast.
 ROUNDS = (8, 16, 40)
 #: A task of training has so many tokens at least: changes that are averaged over many small tasks get nowhere.
@@ -358,9 +357,8 @@ def train_nce(train: DataFrame, words: Vocabulary, context: int = CONTEXT, dim:
         return m
     sc = train.sparkSession.sparkContext
     parts = train.rdd.getNumPartitions()
-    again = int(max(1, min(passes, np.ceil(enough / words.n))))
+    again = max(1.0, min(passes, enough / words.n))
     tasks = int(max(1, min(parts, max(sc.defaultParallelism, parts // 16), again * words.n // TASK)))
-    noise, batch = (NOISE, BATCH) if again == 1 else (MORE_NOISE, SMALL_BATCH)
     done, schema = 0, pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
     end = words.own
     for number, share in enumerate(rounds):
@@ -379,7 +377,7 @@ def train_nce(train: DataFrame, words: Vocabulary, context: int = CONTEXT, dim:
             m = _copy(m)
             texts = (x for b in batches for x in _arrays(b.column(0), len(weights)))
             rng = np.random.default_rng((seed, number, TaskContext.get().partitionId()))
-            met = learn(m, texts, end, Noise(weights, m.span, noise), rng, rates, expected, times, batch)
+            met = learn(m, texts, end, Noise(weights, m.span), rng, rates, expected, times)
             if met.any():
                 for i, x in _changes(old, m, met):
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], schema=schema)

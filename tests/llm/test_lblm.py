@@ -126,6 +126,18 @@ def test_better_than_an_interpolated_bigram(spark):
     assert got > bigram > np.log10(u[w]).mean()
 
 
+def test_size_makes_no_jump(spark, sf):
+    """A corpus just below ``enough`` tokens is trained on like one of just as many, and a round goes over wider shares, not more often, before it goes over all twice."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = L.token_counts(docs.where(L.fold(F.col("doc_id")) != L.HELD).select(L.bytes_of().alias("raw")))
+    known = L.vocabulary(counts)
+    train = L.written(L.tokenised(docs, known), "tokens").where("not held_out").coalesce(1)
+    one, same, more = (L.train_nce(train, known, enough=x * known.n) for x in (1, 1.001, 1.5))
+    for name in ("q", "c", "r", "rc"):
+        assert np.array_equal(getattr(one, name), getattr(same, name))
+    assert one.aq.sum() < more.aq.sum()
+
+
 def test_averages():
     """Changes of two tasks are averaged by how often each met a row."""
     weights = np.ones(9)
