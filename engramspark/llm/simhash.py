@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, bytes_of, fresh, written
+from .common import by_batch, bytes_of, fresh, remove, written
 
 SEED, DISTANCE = 42, 2
 
@@ -164,29 +164,40 @@ def segment_links(texts: DataFrame, share: float = 0.45, least: int = 8) -> Data
 
     In rounds: each node is held against the first nodes of its segments, and the later node of every pair found leaves, until
     no pair is found. So all that is left of many copies of one text meets again, and no round makes pairs within a segment.
+    A pair that wasn't close stays so unless a segment gets another first; so from the second round on, only the nodes of
+    segments that lost one of their firsts are held against theirs again.
     """
     rows = texts.select("node", F.size("parts").alias("n"), "parts").where(F.col("n") >= least)
     each = rows.select("node", F.explode("parts").alias("part"))
     shared = each.groupBy("part").agg(F.count("*").alias("times")).where("times > 1").select("part")
     sizes = rows.select("node", "n")
     each = _promising(written(each.join(shared, "part", "left_semi"), "parts"), sizes, share)
+    sizes = written(sizes.join(each.select("node").distinct(), "node", "left_semi"), "sizes")
     orders = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in _ORDERS]
-    out = None
+
+    def firsts_of(each: DataFrame) -> DataFrame:
+        return each.groupBy("part").agg(F.array_distinct(F.array(*orders)).alias("firsts")).select("part", F.explode("firsts").alias("first"))
+
+    firsts, again, out = written(firsts_of(each), "firsts"), each, None
     while True:
-        firsts = each.groupBy("part").agg(F.array_distinct(F.array(*orders)).alias("firsts"))
-        met = each.join(firsts, "part").select("node", F.explode("firsts").alias("first")).where("node != first")
-        met = met.groupBy("node", "first").agg(F.count("*").alias("common"))
+        met = again.join(firsts, "part").where("node != first").groupBy("node", "first").agg(F.count("*").alias("common"))
         met = met.join(sizes, "node").where(F.col("common") >= share * F.col("n")).drop("n")
         close = met.join(sizes.withColumnsRenamed({"node": "first", "n": "m"}), "first").where(F.col("common") >= share * F.col("m"))
         close = written(close.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "links")
         out = close if out is None else out.unionByName(close)
         if not close.head(1):
             return out
-        each = _promising(each.join(close.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), sizes, share)
+        gone = written(close.select(F.col("b").alias("node")).distinct(), "gone")
+        changed = written(firsts.join(gone.withColumnRenamed("node", "first"), "first", "left_semi").select("part").distinct(), "changed")
+        old, each = each, written(each.join(gone, "node", "left_anti"), "parts")
+        members = written(each.join(changed, "part", "left_semi"), "members")
+        firsts = written(firsts.join(changed, "part", "left_anti").unionByName(firsts_of(members)), "firsts")
+        again = written(each.join(written(members.select("node").distinct(), "nodes"), "node", "left_semi"), "again")
+        remove(texts.sparkSession, old._engram_path)
 
 
 def _promising(each: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
-    """The segments (node, part; those of more than one node) of nodes that still have the share of theirs in common with any: no other can have a link."""
+    """The segments (node, part; those of more than one node) of nodes that have the share of theirs in common with any: no other can have a link."""
     enough = each.groupBy("node").agg(F.count("*").alias("common")).join(sizes, "node").where(F.col("common") >= share * F.col("n")).select("node")
     return written(each.join(enough, "node", "left_semi"), "parts")
 

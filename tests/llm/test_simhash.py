@@ -173,3 +173,14 @@ def test_segment_links(spark):
     share = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.45 * max(len(sets[i]), len(sets[j])) and min(len(sets[i]), len(sets[j])) >= 8
     assert got == {tuple(sorted((node[i], node[j]))) for i in range(len(sets)) for j in range(i) if share(i, j)}
     assert S.segment_links(spark.createDataFrame([], "node long, parts array<long>")).collect() == []
+
+
+def test_later_rounds_hold_few(spark, monkeypatch):
+    """After the first round only nodes near those that left are held against others again: of 200 nodes that share 8 of 20 segments with each neighbour and link to none, and three copies of another text, the copy that stays."""
+    seen, w = defaultdict(list), S.written
+    monkeypatch.setattr(S, "written", lambda df, name, **o: (out := w(df, name, **o), seen[name].append(out.count()))[0])
+    sets = [[*(100 * i + j for j in range(8)), *(100 * ((i + 1) % 200) + j for j in range(8)), *(100 * i + j for j in range(50, 54))] for i in range(200)]
+    sets += [[*range(10**6, 10**6 + 19), 10**7 + i] for i in range(3)]
+    got = {(x.a, x.b) for x in S.segment_links(spark.createDataFrame([*enumerate(sets)], "node long, parts array<long>")).collect()}
+    assert got == {(200, 201), (200, 202), (201, 202)}
+    assert seen["parts"][1] == 200 * 16 + 3 * 19 and seen["again"] and max(seen["again"]) <= 19
