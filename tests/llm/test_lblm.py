@@ -162,3 +162,18 @@ def test_odd(odd, none):
     assert L.score_documents(none, **QUICK).collect() == []
     held = odd.where(L.fold(F.col("doc_id")) == L.HELD)
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in L.score_documents(held, **QUICK).collect())
+
+
+def test_sums_and_shares():
+    """Rows of an even number of columns are summed two columns at a time, as others are; scores too large for exp, and a sigmoid of any number."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 9, 200)
+    for d in (6, 7):
+        x = rng.normal(size=(200, d)).astype(np.float32)
+        rows, sums = L._sums(keys, x, 9)
+        assert rows.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, [x[keys == k].sum(axis=0) for k in rows], atol=1e-5)
+    s, own = rng.normal(size=(5, 8)).astype(np.float32), np.arange(5)
+    want = s[own, own] - np.log(np.exp(s).sum(axis=1))
+    assert np.allclose(L._log_share(s.copy(), own, False), want, atol=1e-5) and np.allclose(L._log_share(s + 500, own, True), want, atol=1e-3)
+    with np.errstate(over="raise"):
+        assert np.allclose(L._sigmoid(np.array([-1e4, 0, 1e4], np.float32)), [0, 0.5, 1])
