@@ -45,6 +45,25 @@ def test_similar_pairs_brute(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_similar_pairs_of_many_blocks(spark, monkeypatch):
+    """Sets of all sizes, cut into many blocks; and nothing that is written has more rows than there are sets."""
+    r = random.Random(5)
+    base = [[f"w{int(40 * r.random() ** 2)}" for _ in range(r.choice((1, 2, 5, 20, 60)))] for _ in range(60)]
+    sets = [{w if r.random() < 0.85 else f"w{r.randrange(60)}" for w in r.choice(base)} for _ in range(150)]
+    rows = [(i, "p" if i % 4 else "q", sorted(s)) for i, s in enumerate(sets)]
+    tables, kept = [], J.written
+    monkeypatch.setattr(J, "written", lambda d, name: tables.append(kept(d, name)) or tables[-1])
+    monkeypatch.setattr(J, "_BLOCK", 150, raising=False)
+    monkeypatch.setattr(J, "_AT_ONCE", 500, raising=False)
+    rep = {i: min(j for j, h, u in rows if h == g and u == w) for i, g, w in rows}
+    for t in (0.5, 0.82):
+        got = {(x.a, x.b): x.similarity for x in J.similar_pairs(df(spark, rows, "id int, g string, w array<string>"), "id", "w", t, ["g"]).collect()}
+        own = [(i, g, set(u)) for i, g, u in rows if rep[i] == i]
+        want = {(a, b): len(u & v) / len(u | v) for a, g, u in own for b, h, v in own if a < b and g == h and len(u & v) / len(u | v) >= t}
+        assert got == want | {(rep[i], i): 1.0 for i, _, _ in rows if rep[i] != i}
+        assert max(x.count() for x in tables) <= max(len(rows), len(got))
+
+
 def test_expand_first_discovery(spark):
     edges = df(spark, [(1, 9, "REFERENCED"), (2, 9, "SUPERSEDES"), (9, 1, "CONTRADICTS"), (1, 2, "SUPPORTS"), (3, 8, "NOT_WALKED")], "source int, target int, edge_type string")
     seeds = df(spark, [(1, 1), (2, 2), (3, 3)], "node int, seed_rank int")
