@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
-from ..functions.privacy import differ_in_kind
+from ..functions.privacy import kind_of
 from ..functions.text import tokens
 from ..schemas import DEFAULT, EVIDENCE_RANK, Config
 from ..sources.store import written
@@ -20,10 +20,10 @@ from .similarity import similar_pairs
 def duplicate_candidates(rows: DataFrame, ident: str, text: str, threshold: float, within: Sequence[str]) -> DataFrame:
     """Pairs of statements under one entity that say the same: similar word sets, and neither negated nor dated by weekday against the other."""
     pairs = similar_pairs(rows.withColumn("__w", tokens(F.col(text))), ident, "__w", threshold, within)
-    one = rows.select(*within, F.col(ident).alias("a"), F.col(text).alias("text_a"))
-    two = rows.select(*within, F.col(ident).alias("b"), F.col(text).alias("text_b"))
+    kinds = written(rows.select(*within, F.col(ident).alias("__id"), kind_of(F.col(text)).alias("__kind")), "kinds")  # pairs meet these, not texts
+    one, two = (kinds.select(*within, F.col("__id").alias(x), F.col("__kind").alias(f"__{x}")) for x in "ab")
     both = pairs.join(one, [*within, "a"]).join(two, [*within, "b"])
-    return both.where(~differ_in_kind(F.col("text_a"), F.col("text_b"))).drop("text_a", "text_b")
+    return both.where(F.col("__a") == F.col("__b")).drop("__a", "__b")
 
 
 def keepers(pairs: DataFrame, weights: DataFrame) -> DataFrame:

@@ -64,6 +64,13 @@ def test_similar_pairs_of_many_blocks(spark, monkeypatch):
         assert max(x.count() for x in tables) <= max(len(rows), len(got))
 
 
+def test_duplicate_candidates_meet_without_texts(spark):
+    rows = df(spark, [(1, "g", "the cache is kept in memory"), (2, "g", "cache the is kept in memory"), (3, "g", "the cache is not kept in memory"), (4, "g", "in memory the cache is kept")], "id int, g string, body string")
+    got = U.duplicate_candidates(rows, "id", "body", 0.7, ["g"])
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, 2), (1, 4)]
+    assert "body" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_expand_first_discovery(spark):
     edges = df(spark, [(1, 9, "REFERENCED"), (2, 9, "SUPERSEDES"), (9, 1, "CONTRADICTS"), (1, 2, "SUPPORTS"), (3, 8, "NOT_WALKED")], "source int, target int, edge_type string")
     seeds = df(spark, [(1, 1), (2, 2), (3, 3)], "node int, seed_rank int")
