@@ -74,10 +74,11 @@ def bundle_members(revisions: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def known_shas(mentions: DataFrame, commits: DataFrame, least: int = 7) -> DataFrame:
-    """Mentions (token) that are the beginning of one commit's hash, with it. Prefixes of all lengths that are mentioned meet by an equi-join."""
+    """Mentions (token) that are the beginning of one commit's hash, with it. They meet by their first ``least`` digits; a token is one hash's where the smallest and the largest that it begins are the same."""
     hexes = mentions.where(F.col("token").rlike(rf"^[0-9a-f]{{{least},40}}$")).select("token").distinct()
-    ends = commits.select("hash", F.explode(F.transform(F.sequence(F.lit(least), F.lit(40)), lambda n: F.substring(F.col("hash"), F.lit(1), n))).alias("token"))
-    return hexes.join(ends.distinct(), "token").groupBy("token").agg(F.min("hash").alias("hash"), F.countDistinct("hash").alias("n")).where("n = 1").drop("n")
+    head = lambda c: F.substring(F.col(c), 1, least).alias("head")
+    met = hexes.select("token", head("token")).join(commits.select("hash", head("hash")), "head").where(F.col("hash").startswith(F.col("token")))
+    return met.groupBy("token").agg(F.min("hash").alias("hash"), F.max("hash").alias("last")).where("hash = last").drop("last")
 
 
 def first_source(*sources: DataFrame, key: str = "session_id") -> DataFrame:

@@ -54,6 +54,28 @@ def test_projection_and_sources(spark):
     assert [(g.token, g.hash[:10]) for g in got] == [("abcdef01", "abcdef0123")]
 
 
+def test_known_shas_makes_no_row_of_every_prefix(spark):
+    commits = df(spark, [("abcdef0123" * 4,), ("abcdef0123" * 4,), ("abcdef0999" * 4,), ("abcdef0",)], "hash string")
+    got = A.known_shas(df(spark, [("abcdef01" + "2",), ("abcdef0999" * 4,), ("abcdef0",), ("abcdef01x",)], "token string"), commits)
+    assert sorted((g.token[:10], g.hash[:10]) for g in got.collect()) == [("abcdef012", "abcdef0123"), ("abcdef0999", "abcdef0999")]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_failure_class_of_halves(spark, tmp_path):
+    """408.5 is 408 and 424.5 is 424, as in a cast of SQL."""
+    from engramspark import plans
+
+    df(spark, [(1, 408.5, "view"), (2, 424.5, "view"), (3, 407.5, "view"), (4, 425.5, "view")], "event_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.QUERIES["failure_classes"](spark, str(tmp_path)).orderBy("event_id").collect()
+    assert [r["class"] for r in got] == ["transient", "deterministic", "transient", "deterministic"]
+
+
+def test_verbatim_in_capitals_that_are_several_letters(spark):
+    rows = [("STRASSE IM", "auf die straße im tal"), ("TAL STRASSE", "auf die straße im tal"), ("DIE STRASE IM TAL", "auf der straße am tag")]
+    got = df(spark, rows, "a string, b string").select(D.verbatim(F.col("a"), F.col("b")).alias("v")).collect()
+    assert [r.v for r in got] == [True, True, False]
+
+
 def test_predicates(spark):
     r = spark.range(1).select(
         Q.evidence_tag(F.lit("official")).alias("a"), Q.quarantined(F.create_map(F.lit("quarantined"), F.lit("true"))).alias("b"), Q.earns_discovery(F.lit("fact")).alias("c"), Q.earns_discovery(F.lit("synthesis")).alias("d"),
