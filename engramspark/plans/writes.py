@@ -59,7 +59,7 @@ def queue_flush(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN value::INT % 600 IN (408, 425, 429) OR value::INT % 600 BETWEEN 500 AND 599 THEN 'transient' WHEN value::INT % 600 BETWEEN 400 AND 499 THEN 'deterministic' WHEN event_type = 'error' THEN 'transient' ELSE 'unknown' END AS class FROM events")
 def failure_classes(spark: SparkSession, d: str) -> DataFrame:
-    status = F.round("value").cast("int") % 600
+    status = F.rint("value").cast("int") % 600  # halves go to the even number, as in a cast of SQL
     e = M.table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "Connection reset").alias("m"), status.alias("s"))
     return e.select("event_id", W.failure_class(F.col("s"), F.col("m")).alias("class"))
 
