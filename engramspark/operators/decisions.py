@@ -54,9 +54,10 @@ def correlated_targets(found: DataFrame, by_sha: DataFrame, by_file: DataFrame,
 
 
 def verbatim(statement: Column, source: Column, least: float = 0.6) -> Column:
-    """Whether a statement stands in its source: as it is but for case and white space, or with most of its words."""
-    norm = lambda c: F.lower(one_line(c))
-    return norm(source).contains(norm(statement)) | (containment(F.array_distinct(word_tokens(statement)), F.array_distinct(word_tokens(source))) >= least)
+    """Whether a statement stands in its source: as it is but for case and white space, or with most of its words. Capitals first: a letter that has several as its capital is the same as these."""
+    plain = lambda c: one_line(F.upper(c))  # noqa: E731 (not lower(upper(c)), which Spark takes for lower(c))
+    words = lambda c: F.array_distinct(word_tokens(plain(c)))
+    return F.lower(plain(source)).contains(F.lower(plain(statement))) | (containment(words(statement), words(source)) >= least)
 
 
 def screened_decisions(rows: DataFrame, files: Column, anchors: int = 8, evidence: int = 6) -> DataFrame:
