@@ -76,6 +76,22 @@ def test_verbatim_in_capitals_that_are_several_letters(spark):
     assert [r.v for r in got] == [True, True, False]
 
 
+def test_supersede_candidates_brute(spark):
+    """By sets that meet, not by all pairs of an anchor."""
+    import random
+
+    r = random.Random(11)
+    text = lambda: " ".join(f"word{r.randrange(14)}" for _ in range(r.randint(1, 9)))
+    rows = [(i, r.sample("fgh", r.randint(1, 2)), r.randrange(6), text(), r.choice((None, "word1 word2", "word3 word4 word5"))) for i in range(70)]
+    new, old = (df(spark, x, "id int, anchors array<string>, decided_at int, text string, hint string") for x in (rows[:45], rows[25:]))
+    j = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    w = lambda t: set((t or "").split())
+    want = {(a[0], b[0], j(w(a[3]), w(b[3]))) for a in rows[:45] for b in rows[25:] if set(a[1]) & set(b[1]) and a[0] != b[0] and b[2] < a[2] and j(w(a[3]), w(b[3])) >= (0.35 if j(w(a[4]), w(b[3])) >= 0.2 else 0.5)}
+    got = D.supersede_candidates(new, old)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(s < 0.5 for _, _, s in want)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_predicates(spark):
     r = spark.range(1).select(
         Q.evidence_tag(F.lit("official")).alias("a"), Q.quarantined(F.create_map(F.lit("quarantined"), F.lit("true"))).alias("b"), Q.earns_discovery(F.lit("fact")).alias("c"), Q.earns_discovery(F.lit("synthesis")).alias("d"),
