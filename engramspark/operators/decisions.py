@@ -91,14 +91,21 @@ def screened_decisions(rows: DataFrame, files: Column, anchors: int = 8, evidenc
 
 
 def symbol_bridges(decisions: DataFrame, entities: DataFrame) -> DataFrame:
-    """ABOUT edges from decisions (id, symbols, text) to entities (slug, name): a symbol of the entity's slug, or its name in the text."""
-    from ..functions.text import slug
-    from .similarity import mentions
+    """ABOUT edges from decisions (id, symbols, text) to entities (slug, name): a symbol of the entity's slug, or its name in the text.
 
-    by_symbol = decisions.select("id", F.explode("symbols").alias("s")).select("id", slug(F.col("s")).alias("slug")).join(entities.select("slug"), "slug", "left_semi")
-    names = entities.select("slug", F.array_join(word_tokens(F.col("name")), " ").alias("words")).where("words <> ''")
-    named = mentions(decisions.withColumn("w", word_tokens(F.col("text"))), "id", "w", names, "words").join(names, "words").select("id", "slug")
-    return by_symbol.select("id", "slug").unionByName(named).distinct().select("id", "slug", F.lit("ABOUT").alias("edge_type"))
+    What a decision has in common with entities goes by its id to parts of so many decisions, and only there becomes edges:
+    a part's size doesn't depend on how many decisions there are, or how many have one name.
+    """
+    from ..functions.text import slug
+    from .similarity import mentions, small
+
+    there = small(written(entities.select("slug").distinct(), "slugs"))
+    names = written(entities.select("slug", F.array_join(word_tokens(F.col("name")), " ").alias("words")).where("words <> ''").distinct(), "names")
+    by_symbol = decisions.select("id", F.explode("symbols").alias("s")).select("id", slug(F.col("s")).alias("own")).join(there.withColumnRenamed("slug", "own"), "own", "left_semi")
+    named = mentions(decisions.withColumn("w", word_tokens(F.col("text"))), "id", "w", names, "words")
+    met = by_symbol.select("id", "own", F.lit(None).cast("string").alias("words")).unionByName(named.select("id", F.lit(None).cast("string").alias("own"), "words"))
+    met = met.repartition(decisions.count() // 16_384 + 1, "id").join(small(names), "words", "left")
+    return met.select("id", F.coalesce("own", "slug").alias("slug")).distinct().select("id", "slug", F.lit("ABOUT").alias("edge_type"))
 
 
 def about_sources(edges: DataFrame, nodes: DataFrame, entity: str, kind: str) -> DataFrame:
