@@ -109,9 +109,11 @@ def symbol_bridges(decisions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def about_sources(edges: DataFrame, nodes: DataFrame, entity: str, kind: str) -> DataFrame:
-    """Nodes of a kind that are about an entity, with how many edges each has at either end."""
-    ends = edges.select(F.col("source").alias("kref")).unionAll(edges.select(F.col("target").alias("kref"))).groupBy("kref").agg(F.count("*").alias("edges"))
-    src = edges.where((F.col("edge_type") == "ABOUT") & (F.col("target") == entity)).select(F.col("source").alias("kref")).distinct()
+    """Nodes of a kind that are about an entity, with how many edges each has at either end; edges of other nodes aren't counted."""
+    from .similarity import small
+
+    src = small(written(edges.where((F.col("edge_type") == "ABOUT") & (F.col("target") == entity)).select(F.col("source").alias("kref")).distinct(), "sources"))
+    ends = edges.select(F.col("source").alias("kref")).unionAll(edges.select(F.col("target").alias("kref"))).join(src, "kref", "left_semi").groupBy("kref").agg(F.count("*").alias("edges"))
     return nodes.where(F.col("kind") == kind).join(src, "kref", "left_semi").join(ends, "kref", "left")
 
 
