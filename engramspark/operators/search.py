@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import key_tokens
+from ..sources.store import written
 from .ranking import top_k
 
 
@@ -29,8 +30,14 @@ def bm25(docs: DataFrame, queries: DataFrame, ident: str, text: str, within: Seq
         raise ValueError("too many query tokens for one block; search per block")
     wanted = q.select("token").distinct()
     words = docs.select(*within, F.col(ident).alias("id"), key_tokens(F.col(text)).alias("w"))
-    group = words.groupBy(*within).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")) if within else words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    hits = words.select(*within, "id", F.size("w").alias("length"), F.explode("w").alias("token")).join(F.broadcast(wanted), "token").groupBy(*within, "id", "length", "token").agg(F.count("*").alias("tf"))
+    asked = [r.token for r in wanted.limit(1001).collect()]
+    if len(asked) <= 1000:  # they fit into the expression, and nothing else of a document is kept
+        words = words.select(*within, "id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*asked)).alias("w"))
+    else:
+        words = words.select(*within, "id", F.size("w").alias("length"), "w")
+    words = written(words, "words")  # texts are cut into words once
+    group = (words.groupBy(*within) if within else words.groupBy()).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    hits = words.select(*within, "id", "length", F.explode("w").alias("token")).join(F.broadcast(wanted), "token").groupBy(*within, "id", "length", "token").agg(F.count("*").alias("tf"))
     df = hits.groupBy(*within, "token").agg(F.count("*").alias("df"))
     on = [*within]
     scored = hits.join(df, [*within, "token"])

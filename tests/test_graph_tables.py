@@ -92,6 +92,43 @@ def test_supersede_candidates_brute(spark):
     assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _plan(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_about_counts_no_other_edges(spark):
+    edges = df(spark, [("a", "e", "ABOUT"), ("b", "e", "ABOUT"), ("c", "f", "ABOUT"), ("c", "a", "SUPPORTS"), ("a", "a", "SUPPORTS"), ("x", "e", "ABOUT")], "source string, target string, edge_type string")
+    got = D.about_sources(edges, df(spark, [("a", "fact"), ("b", "fact"), ("x", "other")], "kref string, kind string"), "e", "fact")
+    assert sorted((r.kref, r.edges) for r in got.collect()) == [("a", 4), ("b", 1)]
+    assert _plan(got).count("LeftSemi") > 1
+
+
+def test_symbol_bridges_by_parts_of_decisions(spark):
+    decisions = df(spark, [(1, ["Big Thing"], "a red fox"), (1, ["Big Thing"], "a red fox"), (2, ["no"], "red, red"), (3, [], "big thing")], "id int, symbols array<string>, text string")
+    got = D.symbol_bridges(decisions, df(spark, [("big-thing", "Red Fox"), ("big-thing", "Red Fox"), ("r", "red"), ("s", "Red"), ("t", "")], "slug string, name string"))
+    assert sorted((r.id, r.slug) for r in got.collect()) == [(1, "big-thing"), (1, "r"), (1, "s"), (2, "r"), (2, "s")]
+    assert "Repartition" in _plan(got)
+
+
+def test_key_tokens_look_stop_words_up(spark):
+    from engramspark.functions import text as T
+
+    docs = df(spark, [(1, "The fox and a x1 FOX, y the den")], "i int, t string")
+    got = docs.select(T.key_tokens(F.col("t")).alias("w"))
+    assert got.first().w == ["fox", "x1", "fox", "den"] and "array_contains" not in _plan(got)
+    score = docs.select(T.overlap_score(F.array(F.lit("fox"), F.lit("den"), F.lit("no")), T.key_tokens(F.col("t"))).alias("s")).first().s
+    assert abs(score - (1.0986122887 + 0.6931471806) / 4) < 1e-9
+
+
+def test_bm25_cuts_texts_once(spark):
+    docs = df(spark, [(1, "the quick brown fox"), (2, "red fox"), (3, "")], "id int, t string")
+    few = df(spark, [(1, "a fox"), (2, "red")], "query_id int, query string")
+    many = few.unionByName(spark.range(2000).select(F.lit(3).alias("query_id"), F.concat(F.lit("w"), "id").alias("query")))
+    one, two = (H.bm25(docs, q, "id", "t") for q in (few, many))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == 3
+    assert "regexp_extract_all(lower(t" not in _plan(one)
+
+
 def test_predicates(spark):
     r = spark.range(1).select(
         Q.evidence_tag(F.lit("official")).alias("a"), Q.quarantined(F.create_map(F.lit("quarantined"), F.lit("true"))).alias("b"), Q.earns_discovery(F.lit("fact")).alias("c"), Q.earns_discovery(F.lit("synthesis")).alias("d"),
