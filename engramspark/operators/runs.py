@@ -185,27 +185,32 @@ def capture(found: DataFrame, unit: str, markers: DataFrame, failed: DataFrame |
 
     A decision's key is that of its unit and title, so a second run writes nothing twice. Credentials keep a decision out.
     Markers promise how many decisions a unit has, and are withheld for units of which a part ``failed``: these are mined again.
+
+    All goes by unit, once: what repeats does so within a unit, or within one decision. Keys are made where they are read.
     """
-    new = found.join(markers.select(F.col("key").alias(unit)), unit, "left_anti")
-    clean = new.where(first_credential(F.concat_ws("\n", "title", "text")).isNull())
-    keyed = written(clean.withColumn("key", content_key(F.col(unit).cast("string"), one_line(F.col("title")))).dropDuplicates(["key"]), "decisions")
-    evidence = keyed.select("key", F.explode("evidence").alias("e")).where(F.trim("e") != "").select("key", F.col("e").alias("text"), content_key(F.col("key"), F.col("e")).alias("ekey"))
-    anchors = keyed.select("key", F.explode("anchors").alias("a")).select("key", sessions.normal_path(F.col("a")).alias("path")).where("path <> ''").distinct()
-    unit_key = F.col(unit).cast("string")
+    fresh = found.join(markers.select(F.col("key").alias(unit)), unit, "left_anti")
+    clean = first_credential(F.concat_ws("\n", "title", "text")).isNull()
+    told = lambda c: F.when(F.col("__clean"), F.col(c)).alias(c)
+    fresh = fresh.withColumns({"__clean": clean, "__title": one_line(F.col("title"))}).dropDuplicates([unit, "__title", "__clean"])
+    new = written(fresh.select(unit, "__clean", told("__title"), *(told(c) for c in ("text", "anchors", "evidence"))), "decisions")
+    keyed = new.where("__clean").withColumn("key", content_key(F.col(unit).cast("string"), F.col("__title")))
+    # without a unit or a title, a key may be another unit's too
+    bare = (F.coalesce(F.col(unit).cast("string"), F.lit("")) == "") | (F.coalesce("__title", F.lit("")) == "")
+    keyed = keyed.where(~bare).unionByName(keyed.where(bare).dropDuplicates(["key"]))
+    evidence = keyed.select("key", F.explode(F.array_distinct("evidence")).alias("text")).where(F.trim("text") != "").withColumn("ekey", content_key(F.col("key"), F.col("text")))
+    anchors = keyed.select("key", F.explode(F.array_distinct(F.transform("anchors", sessions.normal_path))).alias("path")).where("path <> ''")
     nodes = (
         keyed.select("key", F.lit("decision").alias("kind"), "text")
         .unionByName(evidence.select(F.col("ekey").alias("key"), F.lit("evidence").alias("kind"), "text"))
-        .unionByName(anchors.select(F.col("path").alias("key"), F.lit("anchor").alias("kind"), F.col("path").alias("text")))
-        .distinct()
+        .unionByName(anchors.select("path").distinct().select(F.col("path").alias("key"), F.lit("anchor").alias("kind"), F.col("path").alias("text")))
     )
     edges = (
         anchors.select(F.col("key").alias("source"), F.col("path").alias("target"), F.lit("IMPLEMENTED_IN").alias("edge_type"))
         .unionByName(evidence.select(F.col("key").alias("source"), F.col("ekey").alias("target"), F.lit("MOTIVATED_BY").alias("edge_type")))
-        .unionByName(keyed.select(F.col("key").alias("source"), unit_key.alias("target"), F.lit("DERIVED_FROM").alias("edge_type")))
-        .distinct()
+        .unionByName(keyed.select(F.col("key").alias("source"), F.col(unit).cast("string").alias("target"), F.lit("DERIVED_FROM").alias("edge_type")))
     )
-    own = keyed.groupBy(unit).agg(F.count("*").alias("expected"))
-    every = new.select(unit).distinct().join(own, unit, "left").select(F.col(unit).alias("key"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    counted = keyed.select(unit, F.lit(1).alias("n")).unionByName(new.select(unit, F.lit(0).alias("n")))
+    every = counted.groupBy(F.col(unit).alias("key")).agg(F.sum("n").alias("expected"))
     return Capture(nodes, edges, every if failed is None else every.join(failed.select(F.col(unit).alias("key")), "key", "left_anti"))
 
 
