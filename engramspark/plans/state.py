@@ -176,9 +176,10 @@ def _capture(spark: SparkSession, d: str) -> U.Capture:
     li = M.table(spark, d, "lineitem")
     s = lambda c: F.col(c).cast("string")
     title = F.concat(F.lit("use part "), s("l_partkey"))
-    found = li.select(F.col("l_orderkey").alias("commit"), title.alias("title"), F.concat(title, F.lit(" instead")).alias("text"), F.array(F.concat(F.lit("./src/p"), s("l_partkey"), F.lit(".py"))).alias("anchors"), F.array(F.concat(F.lit("supplier "), s("l_suppkey"))).alias("evidence"))
+    # numbers are shuffled, by commit as the capture needs them, and words made of them afterwards
+    lines = li.select("l_orderkey", "l_partkey", "l_suppkey").repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.min(F.concat(F.lit("supplier "), s("l_suppkey"))).alias("supplier"))
+    found = lines.select(F.col("l_orderkey").alias("commit"), title.alias("title"), F.concat(title, F.lit(" instead")).alias("text"), F.array(F.concat(F.lit("./src/p"), s("l_partkey"), F.lit(".py"))).alias("anchors"), F.array("supplier").alias("evidence"))
     orders = M.table(spark, d, "orders")
-    found = found.groupBy("commit", "title", "text", "anchors").agg(F.min("evidence").alias("evidence"))
     return U.capture(found, "commit", orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key")), orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("commit")))
 
 
